@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.checks.registry import query, round_all, rounded_sql
 from fieldsurvey.checks.views import SEVERITY_CASE, SURVEY_SQL, survey, table
-from fieldsurvey.functions.aggregates import coverage, geomean, mean_, proportion, representative
+from fieldsurvey.functions.aggregates import coverage, geomean, mean_, proportion
 from fieldsurvey.functions.values import band, recode
 from fieldsurvey.operators.cover import category_counts as count_categories
+from fieldsurvey.operators.cover import group_representative as representative_of
 from fieldsurvey.operators.frames import fill_zero
 from fieldsurvey.operators.merge import full_merge
 from fieldsurvey.operators.ordered import share_of_base, share_of_group
@@ -63,7 +64,7 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT plot_id, {SEVERITY_CASE.format("plot_id")} AS severity FROM survey GROUP BY plot_id""")
 def group_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = band("plot_id", SEVERITY_BOUNDS, SEVERITY_ELSE)
-    return survey(spark, sf_dir).groupBy("plot_id").agg(representative(severity).alias("severity"))
+    return representative_of(survey(spark, sf_dir).withColumn("severity", severity), "plot_id", "severity")
 
 
 @query(f"""WITH {SURVEY_SQL},

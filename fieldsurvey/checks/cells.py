@@ -69,7 +69,7 @@ def lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         parse_number("o_orderpriority").alias("priority"),
-        parse_number(F.concat(F.lit("nr "), F.format_number(F.col("o_orderkey") * 1000, 0))).alias("grouped"),
+        parse_number(F.concat(F.lit("nr "), F.col("o_orderkey"), F.lit(",000"))).alias("grouped"),
         to_number("o_orderpriority").alias("not_a_number"),
         parse_logical("o_orderstatus").alias("is_open"),
         parse_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("order_date"),

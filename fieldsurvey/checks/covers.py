@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.checks.registry import query, round_all, rounded_sql
 from fieldsurvey.checks.views import POINTS_SQL, SEVERITY_CASE, SURVEY_SQL, survey, survey_points
+from fieldsurvey.functions.values import band
 from fieldsurvey.operators.cover import canopy_totals as canopy_totals_of
 from fieldsurvey.operators.cover import overstory_total as overstory_total_of
 from fieldsurvey.operators.cover import single_layer_cover, two_layer_cover
-from fieldsurvey.plans.infiltration import with_site
 from fieldsurvey.plans.site import plot_means as plot_means_of
 from fieldsurvey.plans.site import plot_summary as plot_summary_of
 from fieldsurvey.study import (
@@ -20,6 +20,8 @@ from fieldsurvey.study import (
     GROUND_TOTALS,
     OVERSTORY_ABSENT,
     OVERSTORY_CODES,
+    SEVERITY_BOUNDS,
+    SEVERITY_ELSE,
 )
 
 SURVEYED_SQL = f"{SURVEY_SQL}, surveyed AS (SELECT * FROM survey WHERE ground_cover IS NOT NULL)"
@@ -115,13 +117,14 @@ MEASURES = ["s_mm_hr0_5", "kfs_mm_hr", "bulk_density_gcm3", "sand_percent", "sil
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged site table with one row per event, made without joins."""
-    points = survey_points(spark, sf_dir)
+    plot = (F.col("user_id") % 12 + 1).cast("double").alias("plot_id")
     v = F.col("litter_depth_cm")
-    # One depth is NULL, and one plot has zero conductivity, hence no geometric mean.
-    rows = with_site(points, "location_id", ["plot_id"]).withColumns(
+    # One plot has zero conductivity, hence no geometric mean; one has no carbon.
+    return survey_points(spark, sf_dir, plot).withColumns(
         {
+            "burn_severity": band("plot_id", SEVERITY_BOUNDS, SEVERITY_ELSE),
             "s_mm_hr0_5": v + 1,
-            "kfs_mm_hr": F.when(F.col("plot_id") == 3, v - v).otherwise(v * 2),
+            "kfs_mm_hr": F.when(F.col("plot_id") == 3, 0.0).otherwise(v * 2),
             "bulk_density_gcm3": F.when(v < 40, v / 50),
             "sand_percent": v / 2,
             "silt_percent": v / 3,
@@ -130,7 +133,6 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
             "total_nitrogen_percent": v / 1000,
         }
     )
-    return rows
 
 
 FULL_SQL = f"""{POINTS_SQL},

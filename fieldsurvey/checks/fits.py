@@ -31,8 +31,8 @@ from fieldsurvey.plans.infiltration import (
 )
 from fieldsurvey.study import FIT_GRADES, grade_table
 
-# Tie-breaker included: events of one user at the same time keep a fixed order.
-ORDER = ["time_sec", "event_id"]
+# The order of elapsed time, in the columns the readings are already sorted by.
+ORDER = ["ts", "event_id"]
 
 FEATURES_SQL = """
 rooted AS (
@@ -150,7 +150,7 @@ def _rounded_list(*names: str) -> str:
 SELECT location_id, event_id, {_rounded_list("time_sec", "i_cm", "sqrt_time", "i_per_sqrt_time",
 "geomean_sqrt_time", "di_dsqrt_time")} FROM features""")
 def lead_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(infiltration_features(readings(spark, sf_dir), order=ORDER, max_rows=None))
+    return round_all(infiltration_features(readings(spark, sf_dir), order=ORDER, max_rows=None).drop("ts"))
 
 
 @query(f"""WITH {readings_sql()}, {FEATURES_SQL}, {FITS_SQL}

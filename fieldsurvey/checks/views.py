@@ -30,7 +30,7 @@ def location_key_sql(n: str) -> str:
 
 
 def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> DataFrame:
-    """location_id, event_id, time_sec since the first event, i_cm running total.
+    """location_id, event_id, ts, time_sec since the first event, i_cm running total.
 
     Heavy locations come out sliced (see ``operators.ordered``).
     """
@@ -50,6 +50,7 @@ def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> Dat
     return rows.select(
         "location_id",
         "event_id",
+        "ts",
         (elapsed.cast("double") / F.lit(float(MICROS))).alias("time_sec"),
         (F.col("total").cast("double") / F.lit(100.0)).alias("i_cm"),
         *[c for c in rows.columns if c == SLICE],
@@ -140,19 +141,17 @@ GROUND_LIST = ("B", "F", "L", "G", "R", "SD", "WD", "D", "M", "T")
 DROP_TIMES = [(depth, replicate) for depth in range(4) for replicate in range(1, 4)]
 
 
-def survey_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def survey_points(spark: SparkSession, sf_dir: str, key: Column | None = None) -> DataFrame:
     """Survey rows with all measurements, one per event, keyed by location.
 
-    Ground cover is missing for one event type; canopy and overstory codes have
+    ``key`` stands in for the location. Ground cover is missing for one event type; canopy and overstory codes have
     blanks where ``survey`` has NULL.
     """
     n = F.col("event_id")
-    points = table(spark, sf_dir, "events").select(
-        location_key("user_id").alias("location_id"),
+    return table(spark, sf_dir, "events").select(
+        location_key("user_id").alias("location_id") if key is None else key,
         *[
-            F.when((n + depth) % (replicate + 3) != 0, (n * (depth + 2) + replicate) % 17)
-            .cast("double")
-            .alias(f"wd_{depth}cm_{replicate}_sec")
+            F.nullif((n + 5 * depth + 3 * replicate * replicate) % 17, F.lit(0)).cast("double").alias(f"wd_{depth}cm_{replicate}_sec")
             for depth, replicate in DROP_TIMES
         ],
         F.when(n % 3 != 0, n % 2 == 0).alias("wd_4cm_hydrophobic"),
@@ -165,12 +164,10 @@ def survey_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(n % 4, "PSME", "PIPO", "no live", "").alias("overstory1"),
         _pick(n % 6, "QUGA").alias("overstory2"),
     )
-    return points
 
 
 _TIMES_SQL = ",\n".join(
-    f"         CASE WHEN (event_id + {d}) % {r + 3} <> 0 THEN ((event_id * {d + 2} + {r}) % 17)::DOUBLE END"
-    f" AS wd_{d}cm_{r}_sec"
+    f"         nullif((event_id + {5 * d + 3 * r * r}) % 17, 0)::DOUBLE AS wd_{d}cm_{r}_sec"
     for d, r in DROP_TIMES
 )
 _GROUND_SQL = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(GROUND_LIST))

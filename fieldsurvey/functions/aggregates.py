@@ -37,7 +37,10 @@ def coverage(c: Column | str) -> Column:
 
 
 def representative(c: Column | str) -> Column:
-    """The one value of the group; an error if the group holds several."""
+    """The one value of the group; an error if the group holds several.
+
+    For text the engine sorts its input, so apply it to distinct rows.
+    """
     c = col(c)
     several = F.min(c) < F.max(c)
     return F.when(several, F.raise_error(F.lit("group has several values"))).otherwise(F.min(c))

@@ -41,7 +41,7 @@ def parse_number(c: Column | str) -> Column:
     """First number in the text, grouping commas dropped; NULL if there is none."""
     plain = F.regexp_replace(col(c), ",", "")
     found = F.regexp_extract(plain, r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", 0)
-    return found.try_cast("double")
+    return F.nullif(found, F.lit("")).try_cast("double")
 
 
 def parse_logical(c: Column | str) -> Column:
@@ -50,7 +50,8 @@ def parse_logical(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    return F.try_to_date(F.trim(col(c)), "yyyy-MM-dd")
+    text = F.trim(col(c))
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
 
 
 def to_number(c: Column | str) -> Column:
@@ -104,8 +105,11 @@ def row_median(*cols: Column | str, mode: str = "median") -> Column:
         return col(cols[0])
     if mode != "median":
         raise ValueError(f"mode must be 'median' or 'first', not {mode!r}")
-    cells = F.array_sort(F.array_compact(F.array(*[col(c).cast("double") for c in cols])))
-    size = F.size(cells)
-    low = F.get(cells, F.floor((size - 1) / 2).cast("int"))
-    high = F.get(cells, F.floor(size / 2).cast("int"))
+    values = [col(c).cast("double") for c in cols]
+    # Missing values sort first, so the middle lies behind them.
+    cells = F.sort_array(F.array(*values))
+    missing = sum((v.isNull().cast("int") for v in values), F.lit(0))
+    present = F.lit(len(values)) - missing
+    low = F.get(cells, missing + F.shiftright(present - 1, 1))
+    high = F.get(cells, missing + F.shiftright(present, 1))
     return (low + high) / 2

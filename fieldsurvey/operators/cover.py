@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.functions.aggregates import mean_
+from fieldsurvey.functions.aggregates import mean_, representative
 from fieldsurvey.functions.values import col, ratio
 from fieldsurvey.operators.reshape import to_long
 
@@ -24,6 +24,12 @@ def category_counts(df: DataFrame, by: str | Sequence[str], cat: str, name: str
     return df.groupBy(*by, cat).agg(F.count("*").alias(name))
 
 
+def group_representative(df: DataFrame, by: str | Sequence[str], c: str) -> DataFrame:
+    """The one value of ``c`` per group; an error where there are several."""
+    keys = _keys(by)
+    return df.select(*keys, c).distinct().groupBy(*keys).agg(representative(c).alias(c))
+
+
 def _keys(by: str | Sequence[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.skew import HEAVY_ROWS, fixed, rows_in, rows_not_in, same_key
+from fieldsurvey.skew import HEAVY_ROWS, fixed, looked_at, rows_in, rows_not_in, same_key, search_fraction
 
 SALT = "_salt"
 
@@ -105,21 +105,30 @@ def _merge_unique(dfs: Sequence[DataFrame], on: list[str], null_safe: bool) -> D
     return merged.filter(F.assert_true("_once", "a source repeats a key").isNull())
 
 
-def _heavy_keys(dfs: Sequence[DataFrame], on: list[str], max_rows: int) -> DataFrame | None:
-    """Keys with many rows in a source or in the merged result, with all counts."""
-    tagged = [df.select(*on, F.lit(i).alias("_source")) for i, df in enumerate(dfs)]
-    counts = (
-        reduce(DataFrame.unionAll, tagged)
-        .groupBy(*on)
-        .agg(*[F.count_if(F.col("_source") == i).alias(f"_n{i}") for i in range(len(dfs))])
-    )
-    heavy = counts.filter(_multiplicity(range(len(dfs))) > max_rows)
-    return None if heavy.isEmpty() else fixed(heavy)
+def _counts(keys: Sequence[DataFrame], on: list[str]) -> DataFrame:
+    """Rows per key in each source, as ``_n0``, ``_n1`` and so on."""
+    tagged = [df.select(*on, F.lit(i).alias("_source")) for i, df in enumerate(keys)]
+    per_source = [F.count_if(F.col("_source") == i).alias(f"_n{i}") for i in range(len(keys))]
+    return reduce(DataFrame.unionAll, tagged).groupBy(*on).agg(*per_source)
 
 
-def _multiplicity(sources: Sequence[int]) -> Column:
+def _heavy_keys(dfs: Sequence[DataFrame], on: list[str], max_rows: int) -> DataFrame | None:
+    """Keys with many rows in a source or in the merged result, with all counts."""
+    keys, sources = [df.select(*on) for df in dfs], range(len(dfs))
+    met = _counts([looked_at(df, max_rows) for df in keys], on)
+    scale = 1 / search_fraction(max_rows)
+    candidates = met.filter(_multiplicity(sources, scale) > max_rows / 2).select(*on)
+    if candidates.isEmpty():
+        return None
+    candidates = fixed(candidates)
+    counts = _counts([rows_in(df, candidates, on) for df in keys], on)
+    heavy = fixed(counts.filter(_multiplicity(sources) > max_rows))
+    return None if heavy.isEmpty() else heavy
+
+
+def _multiplicity(sources: Sequence[int], scale: float = 1.0) -> Column:
     """Rows a key has after merging ``sources``; an absent source counts once."""
-    sizes = [F.greatest(F.col(f"_n{i}"), F.lit(1)).cast("double") for i in sources]
+    sizes = [F.greatest(F.col(f"_n{i}") * F.lit(scale), F.lit(1.0)) for i in sources]
     return reduce(lambda a, b: a * b, sizes)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsurvey.functions.aggregates import geomean, mean_, proportion, representative
+from fieldsurvey.functions.aggregates import geomean, mean_, proportion
 from fieldsurvey.functions.values import row_median
 from fieldsurvey.operators.cover import (
     canopy_total_shares,
@@ -60,7 +60,7 @@ def plot_mean_columns(replicate_mode: str = "median", wd3_from_wd0: bool = False
     ``replicate_mode="first"`` takes the first drop time for the median, and
     ``wd3_from_wd0`` averages the 0 cm times in place of the 3 cm ones.
     """
-    out = [representative("burn_severity").alias("burn_severity")]
+    out = []
     for depth in DEPTHS:
         source = 0 if depth == 3 and wd3_from_wd0 else depth
         times = [f"wd_{source}cm_{r}_sec" for r in REPLICATES]
@@ -74,10 +74,21 @@ def plot_mean_columns(replicate_mode: str = "median", wd3_from_wd0: bool = False
     return out
 
 
+def _per_plot(df: DataFrame, by: str, columns: list[Column]) -> DataFrame:
+    """One row per plot with its burn severity, which must be one per plot.
+
+    Severity is a grouping key: a text aggregate would have all rows sorted.
+    """
+    grouped = df.groupBy(by, "burn_severity").agg(*columns)
+    alone = F.count("*").over(Window.partitionBy(by)) == 1
+    checked = grouped.withColumn("_alone", alone)
+    return checked.filter(F.assert_true("_alone", "plot has several burn severities").isNull()).drop("_alone")
+
+
 def plot_means(
     df: DataFrame, by: str = "plot_id", replicate_mode: str = "median", wd3_from_wd0: bool = False
 ) -> DataFrame:
-    return df.groupBy(by).agg(*plot_mean_columns(replicate_mode, wd3_from_wd0))
+    return _per_plot(df, by, plot_mean_columns(replicate_mode, wd3_from_wd0))
 
 
 def cover_columns(where: Column) -> list[Column]:
@@ -94,12 +105,10 @@ def cover_columns(where: Column) -> list[Column]:
 def plot_summary(
     df: DataFrame, by: str = "plot_id", replicate_mode: str = "median", wd3_from_wd0: bool = False
 ) -> DataFrame:
-    """The whole summary from one pass and one shuffle of the merged table.
+    """The whole summary from one pass over the merged table.
 
     Cover shares use surveyed points only, those with a ground cover; means use
     all rows. Blank codes are missing.
     """
-    return null_tokens(df, CODES, ("",)).groupBy(by).agg(
-        *plot_mean_columns(replicate_mode, wd3_from_wd0),
-        *cover_columns(F.col("ground_cover").isNotNull()),
-    )
+    columns = plot_mean_columns(replicate_mode, wd3_from_wd0) + cover_columns(F.col("ground_cover").isNotNull())
+    return _per_plot(null_tokens(df, CODES, ("",)), by, columns)

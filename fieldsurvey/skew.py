@@ -2,9 +2,10 @@
 
 Ordered windows and full outer joins put all rows of a key into one task, and
 the engine's adaptive skew handling covers neither. The operators that need
-them therefore count the keys first (one scan of the key columns, partially
-aggregated) and treat the few heavy keys apart. Results do not depend on the
-threshold; only the placement of rows does.
+them therefore look for heavy keys first and treat those apart. The search
+estimates the size of keys from a random part of the key columns, so that it
+shuffles next to nothing, and then counts the candidates exactly. It decides
+where rows are placed, never which rows are used: results do not depend on it.
 """
 
 from __future__ import annotations
@@ -29,14 +30,28 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def search_fraction(max_rows: int) -> float:
+    """Part of the rows looked at, so that a heavy key is met about 2,000 times."""
+    return min(1.0, 2_000 / max_rows)
+
+
+def looked_at(df: DataFrame, max_rows: int) -> DataFrame:
+    fraction = search_fraction(max_rows)
+    return df if fraction == 1.0 else df.sample(fraction)
+
+
 def heavy_groups(df: DataFrame, by: list[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows and their count ``_n``, or None.
 
     The table has at most ``rows / max_rows`` rows.
     """
-    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    heavy = counts.filter(F.col("_n") > max_rows)
-    return None if heavy.isEmpty() else fixed(heavy)
+    met = looked_at(df.select(*by), max_rows).groupBy(*by).agg(F.count("*").alias("_n"))
+    candidates = met.filter(F.col("_n") > max_rows * search_fraction(max_rows) / 2)
+    if candidates.isEmpty():
+        return None
+    rows = rows_in(df.select(*by), fixed(candidates), by)
+    heavy = fixed(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows))
+    return None if heavy.isEmpty() else heavy
 
 
 def _match(df: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:

@@ -148,8 +148,9 @@ def export_names(exported: list[str]) -> dict[str, str]:
 
 def grade_table(spark: SparkSession) -> DataFrame:
     """Fit grades by location: 48 rows."""
-    rows = [line.split() for line in FIT_GRADES.strip().splitlines()]
-    return spark.createDataFrame(rows, "location_id string, ci_fit string, cl_fit string, dl_fit string")
+    rows = ", ".join(str(tuple(line.split())) for line in FIT_GRADES.strip().splitlines())
+    # An inline table, so that its size is known and the engine broadcasts it.
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS grades(location_id, ci_fit, cl_fit, dl_fit)")
 
 
 def grade_default(plot: Column | str = "plot_id") -> Column:
