@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("", "NA", "NaN")
 TRUE_WORDS = ("T", "TRUE", "1")
 FALSE_WORDS = ("F", "FALSE", "0")
+NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
 
 def col(c: Column | str) -> Column:
@@ -40,8 +41,8 @@ def without_tokens(c: Column | str, tokens: Sequence[str] = NULL_TOKENS) -> Colu
 def parse_number(c: Column | str) -> Column:
     """First number in the text, grouping commas dropped; NULL if there is none."""
     plain = F.regexp_replace(col(c), ",", "")
-    found = F.regexp_extract(plain, r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", 0)
-    return F.nullif(found, F.lit("")).try_cast("double")
+    found = F.nullif(F.regexp_extract(plain, NUMBER, 0), F.lit(""))
+    return finite(found.try_cast("double"))
 
 
 def parse_logical(c: Column | str) -> Column:
@@ -55,8 +56,12 @@ def parse_date(c: Column | str) -> Column:
 
 
 def to_number(c: Column | str) -> Column:
-    """Strict cast; text that is not a number becomes NULL."""
-    return finite(col(c).try_cast("double"))
+    """Strict cast of text; what is not a number becomes NULL.
+
+    The pattern comes first because a failing cast costs an exception per row.
+    """
+    text = F.trim(col(c))
+    return finite(F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double")))
 
 
 def band(c: Column | str, upper_bounds: Sequence[tuple[float, str]], otherwise: str) -> Column:
