@@ -225,15 +225,15 @@ def fit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIT_TABLE_SQL}
-SELECT location_id, plot_id, x_m, y_m, burn_severity, {_rounded_list("s_mm_hr0_5", "kfs_mm_hr", "hf_m",
-"c1_ci", "c2_ci", "c1_cl", "c2_cl", "r2_cl", "c1_dl", "c2_dl", "r2_dl", "a1", "a2", "c1", "c2",
+SELECT location_id, plot_id, x_m, y_m, burn_severity, {rounded_sql("hf_m", 3)} AS hf_m,
+  {_rounded_list("s_mm_hr0_5", "kfs_mm_hr", "c1_ci", "c2_ci", "c1_cl", "c2_cl", "r2_cl", "c1_dl", "c2_dl", "r2_dl", "a1", "a2", "c1", "c2",
 "s_cm_sec0_5", "kfs_cm_sec")},
   'sandy loam' AS soil_texture_mdi, 1.89::DOUBLE AS n, 0.025::DOUBLE AS theta_i_cm3_cm3,
   0.41::DOUBLE AS theta_s_cm3_cm3, 2.25::DOUBLE AS mdiradius_cm, 0.075::DOUBLE AS alpha_percm,
   -1::DOUBLE AS tension_cm, ci_fit, cl_fit, dl_fit
 FROM fit_table""")
 def infiltration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(fit_table(spark, sf_dir))
+    return round_all(fit_table(spark, sf_dir), hf_m=3)
 
 
 def _variant_sql(name: str, where: str) -> str:

@@ -33,6 +33,7 @@ def rounded_sql(expression: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0::DOUBLE"
 
 
-def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every double column rounded."""
-    return df.select(*[rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def round_all(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Every double column rounded, to ``other`` digits where named."""
+    cells = [rounded(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.select(*cells)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.skew import HEAVY_ROWS, fixed, looked_at, rows_in, rows_not_in, same_key, search_fraction
+from fieldsurvey.skew import BROADCAST_KEYS, HEAVY_ROWS, fixed, looked_at, rows_in, rows_not_in, same_key, search_fraction
 
 SALT = "_salt"
 
@@ -52,6 +52,7 @@ def merge_all(
 ) -> DataFrame:
     """Full outer join of all frames; repeated keys multiply as in SQL.
 
+    Name the largest frame last: each join shuffles what is merged so far.
     ``null_safe`` lets missing keys match each other. ``unique`` states that no
     frame repeats a key; the plan verifies it and fails otherwise. ``max_rows``
     is the size from which a key is heavy; None skips the count of the keys.
@@ -139,6 +140,7 @@ def _merge_heavy(dfs: Sequence[DataFrame], on: list[str], heavy: DataFrame, max_
     an inner join. At each step the longer side of a key is dealt out over
     salts and the shorter side is repeated for every salt.
     """
+    few = heavy.count() <= BROADCAST_KEYS
     padded = []
     for i, df in enumerate(dfs):
         absent = heavy.filter(F.col(f"_n{i}") == 0).select(*on)
@@ -149,6 +151,7 @@ def _merge_heavy(dfs: Sequence[DataFrame], on: list[str], heavy: DataFrame, max_
         # As many salts as keep the joined rows of one salt below max_rows.
         salts = F.least(F.ceil(left * right / max_rows), F.greatest(left, right)).cast("long")
         sizes = heavy.select(*on, (left >= right).alias("_left_long"), salts.alias("_salts"))
+        sizes = F.broadcast(sizes) if few else sizes
         a = _salted(merged, sizes, on, F.col("_left_long"))
         b = _salted(padded[i], sizes, on, ~F.col("_left_long"))
         b = b.withColumnsRenamed({k: f"_right_{k}" for k in [*on, SALT]})

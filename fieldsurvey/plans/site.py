@@ -43,15 +43,15 @@ def site_merge(
     max_rows: int | None = HEAVY_ROWS,
 ) -> DataFrame:
     """All sources on the location key, with its parts and burn severity."""
-    sources = [
-        fill_text(survey, [c for c in BLANK_CODES if c in survey.columns]),
-        fits.select(*[c for c in MERGED_FITS if c in fits.columns]),
-        density,
-        soil.withColumnsRenamed({"notes": "notes_soil"}),
-    ]
-    merged = merge_all(sources, on, null_safe=True, max_rows=max_rows)
+    survey = fill_text(survey, [c for c in BLANK_CODES if c in survey.columns])
+    fits = fits.select(*[c for c in MERGED_FITS if c in fits.columns])
+    soil = soil.withColumnsRenamed({"notes": "notes_soil"})
+    # The result does not depend on the order of joining. Every further join
+    # shuffles what is merged so far, so the large survey table comes last.
+    merged = merge_all([fits, density, soil, survey], on, null_safe=True, max_rows=max_rows)
+    columns = [c for df in (survey, fits, density, soil) for c in df.columns if c != on]
     # The grid coordinates stay text in this table.
-    return relocate_first(with_site(merged, on, ["plot_id"]), [on, *KEY_PARTS, "burn_severity"])
+    return relocate_first(with_site(merged, on, ["plot_id"]), [on, *KEY_PARTS, "burn_severity", *columns])
 
 
 def plot_mean_columns(replicate_mode: str = "median", wd3_from_wd0: bool = False) -> list[Column]:
