@@ -137,29 +137,46 @@ def _merge_heavy(dfs: Sequence[DataFrame], on: list[str], heavy: DataFrame, max_
     """Full outer merge of the heavy keys as inner joins.
 
     A source that lacks a key gets one empty row for it, so nothing is lost in
-    an inner join. At each step the longer side of a key is dealt out over
-    salts and the shorter side is repeated for every salt.
+    an inner join. A side with few rows is broadcast. Otherwise the longer side
+    of a key is dealt out over salts and the shorter side is repeated for every
+    salt.
     """
-    few = heavy.count() <= BROADCAST_KEYS
+    steps = range(1, len(dfs))
+    sizes = [F.count("*").alias("keys")]
+    sizes += [F.sum(_multiplicity([i])).alias(f"right{i}") for i in steps]
+    sizes += [F.sum(_multiplicity(range(i))).alias(f"left{i}") for i in steps]
+    total = heavy.agg(*sizes).first()
     padded = []
     for i, df in enumerate(dfs):
         absent = heavy.filter(F.col(f"_n{i}") == 0).select(*on)
         padded.append(rows_in(df, heavy, on).unionByName(absent, allowMissingColumns=True))
     merged = padded[0]
-    for i in range(1, len(dfs)):
-        left, right = _multiplicity(range(i)), _multiplicity([i])
-        # As many salts as keep the joined rows of one salt below max_rows.
-        salts = F.least(F.ceil(left * right / max_rows), F.greatest(left, right)).cast("long")
-        sizes = heavy.select(*on, (left >= right).alias("_left_long"), salts.alias("_salts"))
-        sizes = F.broadcast(sizes) if few else sizes
-        a = _salted(merged, sizes, on, F.col("_left_long"))
-        b = _salted(padded[i], sizes, on, ~F.col("_left_long"))
-        b = b.withColumnsRenamed({k: f"_right_{k}" for k in [*on, SALT]})
-        merged = a.join(b, same_key(a, b, [*on, SALT], "_right_"), "inner")
-        merged = merged.drop(SALT, *[f"_right_{k}" for k in [*on, SALT]])
+    for i in steps:
+        a, b, keys = merged, padded[i], list(on)
+        if (total[f"right{i}"] or 0) <= BROADCAST_KEYS:
+            b = F.broadcast(b)
+        elif total[f"left{i}"] <= BROADCAST_KEYS:
+            a = F.broadcast(a)
+        else:
+            a, b = _salt_both(a, b, on, heavy, i, max_rows, total["keys"] <= BROADCAST_KEYS)
+            keys = [*on, SALT]
+        b = b.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+        merged = a.join(b, same_key(a, b, keys, "_right_"), "inner").drop(SALT, *[f"_right_{k}" for k in keys])
     return merged
 
 
+def _salt_both(
+    a: DataFrame, b: DataFrame, on: list[str], heavy: DataFrame, i: int, max_rows: int, few: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of step ``i`` with a salt; ``a`` holds the sources before ``i``."""
+    left, right = _multiplicity(range(i)), _multiplicity([i])
+    # As many salts as keep the joined rows of one salt below max_rows.
+    salts = F.least(F.ceil(left * right / max_rows), F.greatest(left, right)).cast("long")
+    sizes = heavy.select(*on, (left >= right).alias("_left_long"), salts.alias("_salts"))
+    sizes = F.broadcast(sizes) if few else sizes
+    return _salted(a, sizes, on, F.col("_left_long")), _salted(b, sizes, on, ~F.col("_left_long"))
+
+
 def _salted(df: DataFrame, sizes: DataFrame, on: list[str], deal: Column) -> DataFrame:
     sizes = sizes.withColumnsRenamed({k: f"_size_{k}" for k in on})
     joined = df.join(sizes, same_key(df, sizes, on, "_size_"), "inner")

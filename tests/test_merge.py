@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldsurvey.operators import merge
 from fieldsurvey.operators.merge import assert_unique, full_merge, merge_all
 
 
@@ -57,9 +58,10 @@ def test_shared_column_names_refused(spark):
 
 
 @pytest.mark.parametrize("null_safe", [True, False])
-@pytest.mark.parametrize("max_rows", [5, 40, 300])
-def test_heavy_keys_change_nothing(spark, null_safe, max_rows):
+@pytest.mark.parametrize("max_rows, broadcast", [(5, 0), (40, 0), (40, 50), (300, 0), (5, 100_000)])
+def test_heavy_keys_change_nothing(spark, monkeypatch, null_safe, max_rows, broadcast):
     """A third of one source in one key, heavy keys in one, two or all sources, and copies."""
+    monkeypatch.setattr(merge, "BROADCAST_KEYS", broadcast)
     n = F.col("id")
     hot = F.when(n % 3 == 0, F.lit(1)).when(n % 11 == 0, F.lit(None)).otherwise(n % 50)
     a = spark.range(600).select(hot.cast("int").alias("k"), (n % 4).alias("a"))
@@ -69,6 +71,19 @@ def test_heavy_keys_change_nothing(spark, null_safe, max_rows):
     assert rows(merge_all([a, b, c], "k", null_safe, max_rows=max_rows)) == rows(plain)
 
 
+def test_salts_spread_a_heavy_key(spark, monkeypatch):
+    """Neither side is small: rows of one key land under many salts, whole on both sides."""
+    monkeypatch.setattr(merge, "BROADCAST_KEYS", 0)
+    a = spark.range(400).select(F.lit(1).alias("k"), F.lit("copy").alias("a"))
+    b = spark.range(3).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    heavy = merge._heavy_keys([a, b], ["k"], 100)
+    left, right = merge._salt_both(a, b, ["k"], heavy, 1, 100, True)
+    assert left.count() == 400 and left.select(merge.SALT).distinct().count() == 12
+    assert left.groupBy(merge.SALT).count().agg(F.max("count")).first()[0] < 100
+    assert right.groupBy(merge.SALT).count().filter("count = 3").count() == 12
+    assert full_merge(a, b, "k", max_rows=100).count() == 1200
+
+
 def test_unique_form_equals_chain(spark):
     frames = [
         spark.range(i, 60, i + 1).select(F.col("id").alias("k"), (F.col("id") * i).alias(f"v{i}")) for i in range(4)
