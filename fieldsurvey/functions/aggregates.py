@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsurvey.functions.values import col, finite, ratio
+from fieldsurvey.functions.values import col, count_ratio, finite
 
 # Below this share of the product of the two sums of squares the regressors are
 # collinear to working precision (a single time point, for example).
@@ -33,7 +33,7 @@ def geomean(c: Column | str) -> Column:
 
 def coverage(c: Column | str) -> Column:
     """Values present over all rows."""
-    return ratio(F.count(col(c)), F.count("*"))
+    return count_ratio(F.count(col(c)), F.count("*"))
 
 
 def representative(c: Column | str) -> Column:

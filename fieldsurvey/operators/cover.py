@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsurvey.functions.aggregates import mean_, representative
-from fieldsurvey.functions.values import col, ratio
+from fieldsurvey.functions.values import col, count_ratio
 from fieldsurvey.operators.reshape import to_long
 
 
@@ -46,7 +46,7 @@ def single_layer_shares(
     Codes outside ``mapping`` count in the base and get no column.
     """
     surveyed = F.count_if(where)
-    shares = {name: ratio(F.count_if(where & (F.col(code) == k)), surveyed) for k, name in mapping.items()}
+    shares = {name: count_ratio(F.count_if(where & (F.col(code) == k)), surveyed) for k, name in mapping.items()}
     sums = [sum((shares[p] for p in parts[1:]), shares[parts[0]]).alias(name) for name, parts in totals.items()]
     return _in_name_order(shares) + sums
 
@@ -70,7 +70,7 @@ def two_layer_shares(
     def hits(k: str) -> Column:
         return F.count_if(where & (F.col(layer1) == k)) + F.count_if(where & (F.col(layer2) == k))
 
-    return _in_name_order({name: ratio(hits(k), total) for k, name in mapping.items()})
+    return _in_name_order({name: count_ratio(hits(k), total) for k, name in mapping.items()})
 
 
 def canopy_total_shares(layer1: str, layer2: str, foliar: Sequence[str], where: Column) -> list[Column]:
@@ -78,15 +78,15 @@ def canopy_total_shares(layer1: str, layer2: str, foliar: Sequence[str], where:
     surveyed = F.count_if(where)
     leafy = F.col(layer1).isin(*foliar) | F.col(layer2).isin(*foliar)
     return [
-        ratio(F.count_if(where & F.col(layer1).isNotNull()), surveyed).alias("can_total_prop"),
-        ratio(F.count_if(where & leafy), surveyed).alias("can_foliar_prop"),
+        count_ratio(F.count_if(where & F.col(layer1).isNotNull()), surveyed).alias("can_total_prop"),
+        count_ratio(F.count_if(where & leafy), surveyed).alias("can_foliar_prop"),
     ]
 
 
 def overstory_total_shares(layer1: str, absent: str, where: Column) -> list[Column]:
     """Points with a live first layer; missing counts as not live."""
     live = F.count_if(where & (F.col(layer1) != absent))
-    return [ratio(live, F.count_if(where)).alias("over_total_prop")]
+    return [count_ratio(live, F.count_if(where)).alias("over_total_prop")]
 
 
 def single_layer_cover(

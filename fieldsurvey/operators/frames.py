@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +72,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, default: Column | None = None
 
 def split_key(df: DataFrame, c: str, into: Sequence[str], sep: str = "_") -> DataFrame:
     """Parts of a composite key as text columns; short keys are padded with NULL."""
-    parts = F.split(F.col(c), "\\Q" + sep + "\\E")
+    parts = F.split(F.col(c), re.escape(sep))
     return df.withColumns(
         {name: without_tokens(F.get(parts, F.lit(i))) for i, name in enumerate(into)}
     )
