@@ -76,7 +76,8 @@ def merge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"))
         .agg(F.count("*").alias("n"))
     )
-    return merge_two(lines.drop("l_returnflag"), kinds, ["l_orderkey", "l_linenumber"])
+    # At most one row per key and kind on the right, so only the lines are searched.
+    return merge_two(lines.drop("l_returnflag"), kinds, ["l_orderkey", "l_linenumber"], searched=[0])
 
 
 @query(f"""WITH keyed AS (SELECT *, {location_key_sql("user_id")} AS location_id FROM events),

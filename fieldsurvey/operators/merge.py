@@ -12,7 +12,7 @@ Three exact forms give the same rows:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,9 +38,10 @@ def full_merge(
     null_safe: bool = False,
     unique: bool = False,
     max_rows: int | None = HEAVY_ROWS,
+    searched: Sequence[int] | None = None,
 ) -> DataFrame:
     """Full outer join of two frames with one coalesced key."""
-    return merge_all([a, b], on, null_safe, unique, max_rows)
+    return merge_all([a, b], on, null_safe, unique, max_rows, searched)
 
 
 def merge_all(
@@ -49,13 +50,16 @@ def merge_all(
     null_safe: bool = False,
     unique: bool = False,
     max_rows: int | None = HEAVY_ROWS,
+    searched: Sequence[int] | None = None,
 ) -> DataFrame:
     """Full outer join of all frames; repeated keys multiply as in SQL.
 
     Name the largest frame last: each join shuffles what is merged so far.
     ``null_safe`` lets missing keys match each other. ``unique`` states that no
     frame repeats a key; the plan verifies it and fails otherwise. ``max_rows``
-    is the size from which a key is heavy; None skips the count of the keys.
+    is the size from which a key is heavy; None skips the search. ``searched``
+    numbers the frames to search, by default all: leave out those with few rows
+    per key, above all if their keys are expensive to compute.
     """
     on = [on] if isinstance(on, str) else list(on)
     names = [c for df in dfs for c in df.columns if c not in on]
@@ -64,7 +68,7 @@ def merge_all(
     columns = [*on, *names]
     if unique:
         return _merge_unique(dfs, on, null_safe).select(*columns)
-    heavy = None if max_rows is None else _heavy_keys(dfs, on, max_rows)
+    heavy = None if max_rows is None else _heavy_keys(dfs, on, max_rows, searched)
     if heavy is None:
         return reduce(lambda a, b: _outer(a, b, on, null_safe), dfs).select(*columns)
     parts = []
@@ -106,23 +110,27 @@ def _merge_unique(dfs: Sequence[DataFrame], on: list[str], null_safe: bool) -> D
     return merged.filter(F.assert_true("_once", "a source repeats a key").isNull())
 
 
-def _counts(keys: Sequence[DataFrame], on: list[str]) -> DataFrame:
+def _counts(keys: Mapping[int, DataFrame], on: list[str], sources: range) -> DataFrame:
     """Rows per key in each source, as ``_n0``, ``_n1`` and so on."""
-    tagged = [df.select(*on, F.lit(i).alias("_source")) for i, df in enumerate(keys)]
-    per_source = [F.count_if(F.col("_source") == i).alias(f"_n{i}") for i in range(len(keys))]
+    tagged = [df.select(*on, F.lit(i).alias("_source")) for i, df in keys.items()]
+    per_source = [F.count_if(F.col("_source") == i).alias(f"_n{i}") for i in sources]
     return reduce(DataFrame.unionAll, tagged).groupBy(*on).agg(*per_source)
 
 
-def _heavy_keys(dfs: Sequence[DataFrame], on: list[str], max_rows: int) -> DataFrame | None:
+def _heavy_keys(
+    dfs: Sequence[DataFrame], on: list[str], max_rows: int, searched: Sequence[int] | None = None
+) -> DataFrame | None:
     """Keys with many rows in a source or in the merged result, with all counts."""
-    keys, sources = [df.select(*on) for df in dfs], range(len(dfs))
-    met = _counts([looked_at(df, max_rows) for df in keys], on)
+    sources = range(len(dfs))
+    keys = {i: df.select(*on) for i, df in enumerate(dfs)}
+    looked = {i: looked_at(keys[i], max_rows) for i in (sources if searched is None else searched)}
+    met = _counts(looked, on, sources)
     scale = 1 / search_fraction(max_rows)
     candidates = met.filter(_multiplicity(sources, scale) > max_rows / 2).select(*on)
     if candidates.isEmpty():
         return None
     candidates = fixed(candidates)
-    counts = _counts([rows_in(df, candidates, on) for df in keys], on)
+    counts = _counts({i: rows_in(df, candidates, on) for i, df in keys.items()}, on, sources)
     heavy = fixed(counts.filter(_multiplicity(sources) > max_rows))
     return None if heavy.isEmpty() else heavy
 

@@ -48,7 +48,8 @@ def site_merge(
     soil = soil.withColumnsRenamed({"notes": "notes_soil"})
     # The result does not depend on the order of joining. Every further join
     # shuffles what is merged so far, so the large survey table comes last.
-    merged = merge_all([fits, density, soil, survey], on, null_safe=True, max_rows=max_rows)
+    # Fits have one row per location and may be expensive, so they are not searched.
+    merged = merge_all([fits, density, soil, survey], on, null_safe=True, max_rows=max_rows, searched=[1, 2, 3])
     columns = [c for df in (survey, fits, density, soil) for c in df.columns if c != on]
     # The grid coordinates stay text in this table.
     return relocate_first(with_site(merged, on, ["plot_id"]), [on, *KEY_PARTS, "burn_severity", *columns])
