@@ -64,7 +64,8 @@ def read_table(
 ) -> DataFrame:
     """Header file with declared types, by schema or by compact specification.
 
-    Fields are scanned as text, only those kept, and converted leniently. With
+    Columns are taken by position. Fields are scanned as text, only those kept,
+    and converted leniently. With
     ``compact`` the names come from the header unless given.
     """
     if (schema is None) == (compact is None):

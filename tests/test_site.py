@@ -192,3 +192,19 @@ def test_heavy_location_merges_the_same(run, spark):
 def test_paths_are_fresh(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert new_table_path(spark, "x") != new_table_path(spark, "x")
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        shared_folder(Session)
