@@ -38,13 +38,11 @@ from fieldsurvey.functions.values import (
 )
 from fieldsurvey.operators.cover import (
     canopy_totals,
-    category_counts,
-    group_representative,
     overstory_total,
-    quality_sensitivity,
     single_layer_cover,
     two_layer_cover,
 )
+from fieldsurvey.operators.groups import category_counts, group_representative, quality_sensitivity
 from fieldsurvey.operators.frames import (
     fill_text,
     fill_zero,

@@ -9,8 +9,8 @@ from fieldsurvey.checks.registry import query, round_all, rounded_sql
 from fieldsurvey.checks.views import SEVERITY_CASE, SURVEY_SQL, survey, table
 from fieldsurvey.functions.aggregates import coverage, geomean, mean_, proportion
 from fieldsurvey.functions.values import band, recode
-from fieldsurvey.operators.cover import category_counts as count_categories
-from fieldsurvey.operators.cover import group_representative as representative_of
+from fieldsurvey.operators.groups import category_counts as count_categories
+from fieldsurvey.operators.groups import group_representative as representative_of
 from fieldsurvey.operators.frames import fill_zero
 from fieldsurvey.operators.merge import full_merge
 from fieldsurvey.operators.ordered import share_of_base, share_of_group

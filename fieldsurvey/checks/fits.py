@@ -15,7 +15,7 @@ from fieldsurvey.checks.views import (
     table,
 )
 from fieldsurvey.functions.hydrology import HydraulicParams
-from fieldsurvey.operators.cover import quality_sensitivity as sensitivity
+from fieldsurvey.operators.groups import quality_sensitivity as sensitivity
 from fieldsurvey.plans.infiltration import (
     ESTIMATES,
     coefficients_long,

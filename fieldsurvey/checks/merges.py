@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.checks.registry import query, round_all, rounded_sql
 from fieldsurvey.checks.views import SEVERITY_CASE, SURVEY_SQL, location_key, location_key_sql, survey, table
-from fieldsurvey.operators.cover import category_counts
+from fieldsurvey.operators.groups import category_counts
 from fieldsurvey.operators.merge import full_merge as merge_two, merge_all
 from fieldsurvey.plans.site import site_merge as site_merge_plan
 

@@ -1,4 +1,4 @@
-"""Category counts and cover shares of survey points.
+"""Cover shares of survey points.
 
 The cover operators are one conditional-count aggregation each: no window, no
 pivot and no join, and a shuffle of one row per group and task. Their aggregate
@@ -13,25 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.functions.aggregates import mean_, representative
-from fieldsurvey.functions.values import col, count_ratio
-from fieldsurvey.operators.reshape import to_long
-
-
-def category_counts(df: DataFrame, by: str | Sequence[str], cat: str, name: str = "n") -> DataFrame:
-    """Rows per group and category; missing is a category of its own."""
-    by = [by] if isinstance(by, str) else list(by)
-    return df.groupBy(*by, cat).agg(F.count("*").alias(name))
-
-
-def group_representative(df: DataFrame, by: str | Sequence[str], c: str) -> DataFrame:
-    """The one value of ``c`` per group; an error where there are several."""
-    keys = _keys(by)
-    return df.select(*keys, c).distinct().groupBy(*keys).agg(representative(c).alias(c))
-
-
-def _keys(by: str | Sequence[str]) -> list[str]:
-    return [by] if isinstance(by, str) else list(by)
+from fieldsurvey.functions.values import count_ratio
+from fieldsurvey.operators.groups import as_keys
 
 
 def _in_name_order(shares: Mapping[str, Column]) -> list[Column]:
@@ -93,7 +76,7 @@ def single_layer_cover(
     df: DataFrame, by: str | Sequence[str], code: str, mapping: Mapping[str, str], totals: Mapping[str, Sequence[str]]
 ) -> DataFrame:
     surveyed = df.na.drop(subset=[code])
-    return surveyed.groupBy(*_keys(by)).agg(*single_layer_shares(code, mapping, totals, F.lit(True)))
+    return surveyed.groupBy(*as_keys(by)).agg(*single_layer_shares(code, mapping, totals, F.lit(True)))
 
 
 def two_layer_cover(
@@ -102,31 +85,12 @@ def two_layer_cover(
     """Groups without any code in either layer are left out."""
     coded = F.count(F.coalesce(F.col(l1), F.col(l2))).alias("_coded")
     shares = two_layer_shares(l1, l2, mapping, base, F.lit(True))
-    return df.groupBy(*_keys(by)).agg(*shares, coded).filter("_coded > 0").drop("_coded")
+    return df.groupBy(*as_keys(by)).agg(*shares, coded).filter("_coded > 0").drop("_coded")
 
 
 def canopy_totals(df: DataFrame, by: str | Sequence[str], l1: str, l2: str, foliar: Sequence[str]) -> DataFrame:
-    return df.groupBy(*_keys(by)).agg(*canopy_total_shares(l1, l2, foliar, F.lit(True)))
+    return df.groupBy(*as_keys(by)).agg(*canopy_total_shares(l1, l2, foliar, F.lit(True)))
 
 
 def overstory_total(df: DataFrame, by: str | Sequence[str], l1: str, absent: str) -> DataFrame:
-    return df.groupBy(*_keys(by)).agg(*overstory_total_shares(l1, absent, F.lit(True)))
-
-
-def quality_sensitivity(df: DataFrame, by: str, measures: Sequence[str], grade: str) -> DataFrame:
-    """Group means under three rules for graded rows, in one pass.
-
-    ``drop_poor`` leaves out poor and ungraded rows, ``keep_all`` uses all rows,
-    ``only_good`` uses good rows. A group with no row under a rule is left out.
-    """
-    rules = {
-        "drop_poor": F.col(grade) != "poor",
-        "keep_all": F.lit(True),
-        "only_good": F.col(grade) == "good",
-    }
-    cells = []
-    for name, rule in rules.items():
-        means = [mean_(F.when(rule, col(m))).alias(f"mean_{m}") for m in measures]
-        cells.append(F.struct(F.count_if(rule).alias("_rows"), *means).alias(name))
-    long = to_long(df.groupBy(by).agg(*cells), [by], list(rules), "variant", "_cell")
-    return long.filter("_cell._rows > 0").select(by, "variant", "_cell.*").drop("_rows")
+    return df.groupBy(*as_keys(by)).agg(*overstory_total_shares(l1, absent, F.lit(True)))

@@ -7,13 +7,11 @@ from fieldsurvey.checks.views import survey
 from fieldsurvey.functions.values import recode
 from fieldsurvey.operators.cover import (
     canopy_totals,
-    category_counts,
-    group_representative,
     overstory_total,
-    quality_sensitivity,
     single_layer_cover,
     two_layer_cover,
 )
+from fieldsurvey.operators.groups import category_counts, group_representative, quality_sensitivity
 from fieldsurvey.operators.frames import fill_zero
 from fieldsurvey.operators.merge import full_merge
 from fieldsurvey.operators.ordered import share_of_base
