@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm import bpe
+from fieldsurvey.llm import bpe, quotes, secrets, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +46,59 @@ def digests(coded: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: Host, path and verdict of the rules of the URL query.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _fitting(host: str, path: str, verdict: str) -> str:
+    return f"""WHEN (host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%' THEN"""
+
+
+SQL["op4_url_rules"] = f"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path
+    FROM rest
+)
+SELECT page_id, host, path,
+    CASE {" ".join(f"{_fitting(*r)} '{r[0]}{r[1]}'" for r in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule,
+    CASE {" ".join(f"{_fitting(*r)} '{r[2]}'" for r in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))} ELSE 'allow' END AS verdict
+FROM parts
+"""
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+    of_kind = lambda kind: F.filter("secret_spans", lambda s: s["kind"] == kind)
+    base = F.filter("secret_spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
+@query
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return quotes.thread(turns).select("conv_id", "turn", "role", "body", "n_quoted", "n_linked", "reply_to", "depth")
