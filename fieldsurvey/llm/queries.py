@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm import bpe, quotes, secrets, url_rules
+from fieldsurvey.llm import bpe, langid, quality, quotes, secrets, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,39 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return quotes.thread(turns).select("conv_id", "turn", "role", "body", "n_quoted", "n_linked", "reply_to", "depth")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(fold(3) != 1)
+    scored = quality.classify(docs, labels)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+SQL["op6_top_k"] = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
+    model = langid.learn(docs.filter(~F.col("held_out")))
+    found = langid.identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
