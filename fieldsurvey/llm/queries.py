@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm import bpe, langid, quality, quotes, secrets, topk, url_rules
+from fieldsurvey.llm import bpe, langid, ngram_lm, quality, quotes, secrets, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +138,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(~F.col("held_out")))
     found = langid.identify(docs.select("doc_id", "text", "held_out"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(7) == 2).alias("held_out"))
+    return ngram_lm.score(docs, ~F.col("held_out"))
