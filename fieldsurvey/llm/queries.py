@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm import bpe, langid, ngram_lm, quality, quotes, secrets, topk, url_rules
+from fieldsurvey.llm import bpe, jaccard, langid, ngram_lm, quality, quotes, secrets, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,3 +144,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(7) == 2).alias("held_out"))
     return ngram_lm.score(docs, ~F.col("held_out"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
