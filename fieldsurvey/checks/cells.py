@@ -60,10 +60,27 @@ def csv_missing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, schema=schema)
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ', "' || p_type || '" twice' WHEN 1 THEN 'C:\\' || p_name || '\\'
+    WHEN 2 THEN '"' || p_brand ELSE p_name || '|' || p_type || '"",' END AS note, p_retailprice FROM part""")
+def csv_quoted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, separators and backslashes in text come back as they were."""
+    nth, quote, back = F.col("p_partkey") % 4, F.lit('"'), F.lit("\\")
+    note = (
+        F.when(nth == 0, F.concat("p_name", F.lit(", "), quote, "p_type", quote, F.lit(" twice")))
+        .when(nth == 1, F.concat(F.lit("C:"), back, "p_name", back))
+        .when(nth == 2, F.concat(quote, "p_brand"))
+        .otherwise(F.concat("p_name", F.lit("|"), "p_type", quote, quote, F.lit(",")))
+    )
+    path = new_table_path(spark, "part")
+    parts = table(spark, sf_dir, "part").select("p_partkey", note.alias("note"), "p_retailprice")
+    write_table(parts, path)
+    return read_table(spark, path, schema=T.StructType().add("p_partkey", "long").add("note", "string").add("p_retailprice", "double"))
+
+
 @query("""SELECT o_orderkey, regexp_extract(o_orderpriority, '[0-9]+')::DOUBLE AS priority,
   (o_orderkey * 1000)::DOUBLE AS grouped,
   TRY_CAST(o_orderpriority AS DOUBLE) AS not_a_number,
-  CASE o_orderstatus WHEN 'F' THEN false END AS is_open,
+  CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_open,
   o_orderdate::DATE AS order_date, NULL::DATE AS not_a_date FROM orders""")
 def lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
@@ -71,9 +88,9 @@ def lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         parse_number("o_orderpriority").alias("priority"),
         parse_number(F.concat(F.lit("nr "), F.col("o_orderkey"), F.lit(",000"))).alias("grouped"),
         to_number("o_orderpriority").alias("not_a_number"),
-        parse_logical("o_orderstatus").alias("is_open"),
+        parse_logical(F.get(F.array(F.lit("T"), F.lit(" false "), F.lit("maybe")), (F.col("o_orderkey") % 3).cast("int"))).alias("is_open"),
         parse_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("order_date"),
-        parse_date("o_orderpriority").alias("not_a_date"),
+        parse_date(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-13-45"))).alias("not_a_date"),
     )
 
 

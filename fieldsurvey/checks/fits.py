@@ -14,6 +14,7 @@ from fieldsurvey.checks.views import (
     readings_sql,
     table,
 )
+from fieldsurvey.functions.aggregates import fit_two_term
 from fieldsurvey.functions.hydrology import HydraulicParams
 from fieldsurvey.operators.groups import quality_sensitivity as sensitivity
 from fieldsurvey.plans.infiltration import (
@@ -62,19 +63,22 @@ def _line_sql(y: str, x: str, suffix: str, late: str, halve: bool) -> str:
 
 
 FITS_SQL = f"""
+weighted AS (
+  SELECT *, sum(time_sec * sqrt_time) OVER l / nullif(sum(time_sec) OVER l, 0) AS mean_root,
+         sum(i_cm * sqrt_time) OVER l / nullif(sum(time_sec) OVER l, 0) AS mean_rate
+  FROM features WINDOW l AS (PARTITION BY location_id)),
 sums AS (
-  SELECT location_id,
-         sum(sqrt_time * sqrt_time) AS sxx, sum(time_sec * time_sec) AS szz,
-         sum(sqrt_time * time_sec) AS sxz, sum(sqrt_time * i_cm) AS sxy, sum(time_sec * i_cm) AS szy,
+  SELECT location_id, any_value(mean_root) AS mean_root, any_value(mean_rate) AS mean_rate,
+         sum(time_sec * pow(sqrt_time - mean_root, 2)) AS spread,
+         sum(time_sec * (sqrt_time - mean_root) * (coalesce(i_per_sqrt_time, 0) - mean_rate)) AS shared,
+         min(sqrt_time) FILTER (sqrt_time > 0) < max(sqrt_time) AS varied,
 {_line_sql("i_per_sqrt_time", "sqrt_time", "cl", "time_sec > 24", False)},
 {_line_sql("di_dsqrt_time", "geomean_sqrt_time", "dl", "true", True)}
-  FROM features GROUP BY location_id),
+  FROM weighted GROUP BY location_id),
 fits AS (
   SELECT location_id,
-         CASE WHEN sxx * szz - sxz * sxz > 1e-12 * sxx * szz
-              THEN (szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) END AS c1_ci,
-         CASE WHEN sxx * szz - sxz * sxz > 1e-12 * sxx * szz
-              THEN (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) END AS c2_ci,
+         CASE WHEN varied THEN mean_rate - mean_root * shared / spread END AS c1_ci,
+         CASE WHEN varied THEN shared / spread END AS c2_ci,
          c1_cl, c2_cl, r2_cl, c1_dl, c2_dl, r2_dl
   FROM sums)"""
 
@@ -225,15 +229,15 @@ def fit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIT_TABLE_SQL}
-SELECT location_id, plot_id, x_m, y_m, burn_severity, {rounded_sql("hf_m", 3)} AS hf_m,
-  {_rounded_list("s_mm_hr0_5", "kfs_mm_hr", "c1_ci", "c2_ci", "c1_cl", "c2_cl", "r2_cl", "c1_dl", "c2_dl", "r2_dl", "a1", "a2", "c1", "c2",
-"s_cm_sec0_5", "kfs_cm_sec")},
+SELECT location_id, plot_id, x_m, y_m, burn_severity, {rounded_sql("hf_m", 5)} AS hf_m,
+  {rounded_sql("kfs_cm_sec", 10)} AS kfs_cm_sec, {rounded_sql("c2_cl", 9)} AS c2_cl, {rounded_sql("c2", 9)} AS c2,
+  {_rounded_list("s_mm_hr0_5", "kfs_mm_hr", "c1_ci", "c2_ci", "c1_cl", "r2_cl", "c1_dl", "c2_dl", "r2_dl", "a1", "a2", "c1", "s_cm_sec0_5")},
   'sandy loam' AS soil_texture_mdi, 1.89::DOUBLE AS n, 0.025::DOUBLE AS theta_i_cm3_cm3,
   0.41::DOUBLE AS theta_s_cm3_cm3, 2.25::DOUBLE AS mdiradius_cm, 0.075::DOUBLE AS alpha_percm,
   -1::DOUBLE AS tension_cm, ci_fit, cl_fit, dl_fit
 FROM fit_table""")
 def infiltration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(fit_table(spark, sf_dir), hf_m=3)
+    return round_all(fit_table(spark, sf_dir), hf_m=5, kfs_cm_sec=10, c2_cl=9, c2=9)
 
 
 def _variant_sql(name: str, where: str) -> str:
@@ -248,3 +252,36 @@ def _variant_sql(name: str, where: str) -> str:
 def quality_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = fit_table(spark, sf_dir)
     return round_all(sensitivity(graded, "burn_severity", ["c1_ci", "c2_ci"], "ci_fit"))
+
+
+def _missing_user_sql() -> str:
+    return readings_sql("CASE WHEN user_id % 2 = 1 THEN user_id END")
+
+
+@query(f"""WITH {_missing_user_sql()}
+SELECT location_id, event_id, {_rounded_list("time_sec", "i_cm")} FROM readings""")
+def readings_missing_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the locations are missing and are one series together."""
+    key = F.when(F.col("user_id") % 2 == 1, F.col("user_id"))
+    return round_all(readings(spark, sf_dir, key).select("location_id", "event_id", "time_sec", "i_cm"))
+
+
+_OFFSET = 1_000_000
+
+
+@query(f"""WITH late AS (
+  SELECT user_id AS location_id, sqrt({_OFFSET} + epoch(ts) % 3600) AS x, 0.1 AS c1, 0.01 AS c2 FROM events),
+series AS (SELECT location_id, x, c1 * x + c2 * x * x AS y FROM late),
+means AS (SELECT *, sum(x * x * x) OVER w / sum(x * x) OVER w AS mx, sum(x * y) OVER w / sum(x * x) OVER w AS my
+  FROM series WINDOW w AS (PARTITION BY location_id)),
+fitted AS (SELECT location_id, any_value(mx) AS mx, any_value(my) AS my, min(x) < max(x) AS varied,
+    sum(x * x * (x - mx) * (y / x - my)) / sum(x * x * (x - mx) * (x - mx)) AS slope FROM means GROUP BY location_id)
+SELECT location_id, {rounded_sql("CASE WHEN varied THEN my - slope * mx END", 5)} AS c1,
+  {rounded_sql("CASE WHEN varied THEN slope END", 8)} AS c2 FROM fitted""")
+def fit_ci_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that begin late: the spread of time is small against time itself."""
+    x = F.sqrt((F.lit(_OFFSET) + F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 % 3600).cast("double"))
+    late = table(spark, sf_dir, "events").select(F.col("user_id").alias("location_id"), x.alias("x"))
+    series = late.withColumn("y", F.lit(0.1) * F.col("x") + F.lit(0.01) * F.col("x") * F.col("x"))
+    c1, c2 = fit_two_term("x", "y")
+    return round_all(series.groupBy("location_id").agg(c1.alias("c1"), c2.alias("c2")), 8, c1=5)

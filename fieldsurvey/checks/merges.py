@@ -45,8 +45,9 @@ _TYPES = ["click", "error", "purchase", "view"]
 
 
 def _type_sql(kind: str) -> str:
-    return f"""{kind}_t AS (SELECT user_id, count(*) AS n_{kind}, max(value) AS max_{kind}
-  FROM events WHERE event_type = '{kind}' AND value > 40 GROUP BY user_id)"""
+    # Keys are shifted by source, so that each source lacks some.
+    return f"""{kind}_t AS (SELECT user_id + {7 * _TYPES.index(kind)} AS user_id, count(*) AS n_{kind}, max(value) AS max_{kind}
+  FROM events WHERE event_type = '{kind}' GROUP BY ALL)"""
 
 
 @query(f"""WITH {", ".join(_type_sql(t) for t in _TYPES)}
@@ -54,25 +55,27 @@ SELECT user_id, {", ".join(f"n_{t}, max_{t}" for t in _TYPES)} FROM click_t
 FULL JOIN error_t USING (user_id) FULL JOIN purchase_t USING (user_id) FULL JOIN view_t USING (user_id)""")
 def merge_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sources with one row per key: one union and one aggregation."""
-    large = table(spark, sf_dir, "events").filter(F.col("value") > 40)
+    events = table(spark, sf_dir, "events")
     sources = [
-        large.filter(F.col("event_type") == t)
-        .groupBy("user_id")
+        events.filter(F.col("event_type") == t)
+        .groupBy((F.col("user_id") + 7 * _TYPES.index(t)).alias("user_id"))
         .agg(F.count("*").alias(f"n_{t}"), F.max("value").alias(f"max_{t}"))
         for t in _TYPES
     ]
     return merge_all(sources, "user_id", unique=True)
 
 
-@query("""WITH kinds AS (SELECT l_orderkey, l_linenumber, l_returnflag AS kind, count(*) AS n
-  FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+@query("""WITH kinds AS (SELECT l_orderkey + 700 AS l_orderkey, l_linenumber, l_returnflag AS kind, count(*) AS n
+  FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, l_quantity, kind, n
 FROM lineitem FULL JOIN kinds USING (l_orderkey, l_linenumber)""")
 def merge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated keys on both sides multiply."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    shifted = lines.withColumn("l_orderkey", F.col("l_orderkey") + 700)
+    # Hashed by the keys of the join before counting, so that the join needs no second exchange.
     kinds = (
-        lines.filter(F.col("l_returnflag") != "N")
+        shifted.repartition("l_orderkey", "l_linenumber")
         .groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"))
         .agg(F.count("*").alias("n"))
     )
@@ -80,15 +83,20 @@ def merge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_two(lines.drop("l_returnflag"), kinds, ["l_orderkey", "l_linenumber"], searched=[0])
 
 
-@query(f"""WITH keyed AS (SELECT *, {location_key_sql("user_id")} AS location_id FROM events),
-survey AS (SELECT location_id, max(value) AS litter_depth_cm, coalesce(min(nullif(event_id % 5, 0)::VARCHAR), '') AS lf1
-  FROM keyed WHERE event_type = 'click' GROUP BY location_id HAVING count(*) > 12),
-fits AS (SELECT location_id, min(value) AS s_mm_hr0_5, max(value) AS kfs_mm_hr
-  FROM keyed WHERE event_type = 'view' GROUP BY location_id HAVING count(*) > 10),
-density AS (SELECT location_id, max(value) AS bulk_density_gcm3
-  FROM keyed WHERE event_type = 'purchase' GROUP BY location_id HAVING count(*) < 15),
-soil AS (SELECT location_id, max(value) AS sand_percent, CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS notes_soil
-  FROM keyed WHERE event_type = 'error' GROUP BY location_id, event_id % 2),
+def _shifted_sql(by: int) -> str:
+    return location_key_sql(f"(user_id + {by})")
+
+
+@query(f"""WITH survey AS (SELECT {_shifted_sql(0)} AS location_id, max(value) AS litter_depth_cm,
+    coalesce(min(nullif(event_id % 5, 0))::VARCHAR, '') AS lf1
+  FROM events WHERE event_type = 'click' GROUP BY ALL),
+fits AS (SELECT {_shifted_sql(10)} AS location_id, min(value) AS s_mm_hr0_5, max(value) AS kfs_mm_hr
+  FROM events WHERE event_type = 'view' GROUP BY ALL),
+density AS (SELECT {_shifted_sql(20)} AS location_id, max(value) AS bulk_density_gcm3
+  FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+soil AS (SELECT {_shifted_sql(30)} AS location_id, max(value) AS sand_percent,
+    CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS notes_soil
+  FROM events WHERE event_type = 'error' GROUP BY ALL),
 merged AS (SELECT * FROM survey FULL JOIN fits USING (location_id) FULL JOIN density USING (location_id)
   FULL JOIN soil USING (location_id))
 SELECT location_id, split_part(location_id, '_', 1)::DOUBLE AS plot_id, split_part(location_id, '_', 2) AS x_m,
@@ -96,18 +104,19 @@ SELECT location_id, split_part(location_id, '_', 1)::DOUBLE AS plot_id, split_pa
   {SEVERITY_CASE.format("split_part(location_id, '_', 1)::DOUBLE")} AS burn_severity,
   litter_depth_cm, lf1, s_mm_hr0_5, kfs_mm_hr, bulk_density_gcm3, sand_percent, notes_soil FROM merged""")
 def site_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four sources, each lacking some locations, one with up to two rows per location."""
-    keyed = table(spark, sf_dir, "events").withColumn("location_id", location_key("user_id"))
+    """Four sources with keys shifted by source, one with up to two rows per location."""
+    events = table(spark, sf_dir, "events")
 
-    def of(kind: str, *more) -> DataFrame:
-        return keyed.filter(F.col("event_type") == kind).groupBy("location_id", *more)
+    def of(kind: str, shift: int, *more) -> DataFrame:
+        key = location_key(F.col("user_id") + shift).alias("location_id")
+        return events.filter(F.col("event_type") == kind).groupBy(key, *more)
 
-    peak, n = F.max("value"), F.count("*").alias("n")
-    first = F.min(F.nullif(F.col("event_id") % 5, F.lit(0)).cast("string"))
+    peak = F.max("value")
+    first = F.min(F.nullif(F.col("event_id") % 5, F.lit(0))).cast("string")
     parity = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("notes")
-    survey_rows = of("click").agg(peak.alias("litter_depth_cm"), first.alias("lf1"), n).filter("n > 12").drop("n")
-    fits = of("view").agg(F.min("value").alias("s_mm_hr0_5"), peak.alias("kfs_mm_hr"), n).filter("n > 10").drop("n")
-    density = of("purchase").agg(peak.alias("bulk_density_gcm3"), n).filter("n < 15").drop("n")
-    soil = of("error", parity).agg(peak.alias("sand_percent")).select("location_id", "sand_percent", "notes")
+    survey_rows = of("click", 0).agg(peak.alias("litter_depth_cm"), first.alias("lf1"))
+    fits = of("view", 10).agg(F.min("value").alias("s_mm_hr0_5"), peak.alias("kfs_mm_hr"))
+    density = of("purchase", 20).agg(peak.alias("bulk_density_gcm3"))
+    soil = of("error", 30, parity).agg(peak.alias("sand_percent")).select("location_id", "sand_percent", "notes")
     # At most two rows per location in each source, so no location can be heavy.
     return site_merge_plan(survey_rows, fits, density, soil, max_rows=None)

@@ -14,30 +14,31 @@ from fieldsurvey.scratch import new_table_path
 
 SOURCES_SQL = f"""
 by_location AS (SELECT {location_key_sql("user_id")} AS location_id, event_type, value FROM events),
+shifted AS (SELECT {location_key_sql("(user_id + 15)")} AS location_id, event_type, value FROM events),
 density AS (SELECT location_id, max(value) / 100 AS bulk_density_gcm3 FROM by_location
-  WHERE event_type = 'purchase' GROUP BY location_id HAVING count(*) > 12),
+  WHERE event_type = 'purchase' GROUP BY location_id),
 soil AS (SELECT location_id, max(value) AS sand_percent, min(value) AS silt_percent, max(value) / 9 AS clay_percent,
     max(value) / 7 AS total_organic_carbon_percent, max(value) / 90 AS total_nitrogen_percent
-  FROM by_location WHERE event_type = 'error' GROUP BY location_id HAVING count(*) > 12)"""
+  FROM shifted WHERE event_type = 'error' GROUP BY location_id)"""
 
 
 def stage_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     keyed = table(spark, sf_dir, "events").withColumn("location_id", location_key("user_id"))
-    peak, n = F.max("value"), F.count("*").alias("n")
+    shifted = table(spark, sf_dir, "events").withColumn("location_id", location_key(F.col("user_id") + 15))
+    peak = F.max("value")
     density = keyed.filter(F.col("event_type") == "purchase").groupBy("location_id")
-    soil = keyed.filter(F.col("event_type") == "error").groupBy("location_id")
+    soil = shifted.filter(F.col("event_type") == "error").groupBy("location_id")
     return {
         "readings": readings(spark, sf_dir, location_key("user_id")),
         "survey": survey_points(spark, sf_dir),
-        "density": density.agg((peak / 100).alias("bulk_density_gcm3"), n).filter("n > 12").drop("n"),
+        "density": density.agg((peak / 100).alias("bulk_density_gcm3")),
         "soil": soil.agg(
             peak.alias("sand_percent"),
             F.min("value").alias("silt_percent"),
             (peak / 9).alias("clay_percent"),
             (peak / 7).alias("total_organic_carbon_percent"),
             (peak / 90).alias("total_nitrogen_percent"),
-            n,
-        ).filter("n > 12").drop("n"),
+        ),
     }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldsurvey.operators.ordered import SLICE, in_order, slice_heavy_groups, slice_keys
+from fieldsurvey.skew import same_key
 
 MICROS = 1_000_000
 
@@ -32,7 +33,8 @@ def location_key_sql(n: str) -> str:
 def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> DataFrame:
     """location_id, event_id, ts, time_sec since the first event, i_cm running total.
 
-    Heavy locations come out sliced (see ``operators.ordered``).
+    Heavy locations come out sliced (see ``operators.ordered``), with the number of
+    the slice in ``_slice``.
     """
     by, order = ["location_id"], ["ts", "event_id"]
     rows = table(spark, sf_dir, "events").select(
@@ -44,8 +46,7 @@ def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> Dat
     rows = slice_heavy_groups(rows, by, order)
     running = in_order(slice_keys(rows, by), order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"start": F.min("ts").over(running), "total": F.sum("cents").over(running)})
-    if SLICE in rows.columns:
-        rows = _carried(rows, by)
+    rows = _carried(rows, by)
     elapsed = F.timestamp_diff("MICROSECOND", F.col("start"), F.col("ts"))
     return rows.select(
         "location_id",
@@ -53,7 +54,7 @@ def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> Dat
         "ts",
         (elapsed.cast("double") / F.lit(float(MICROS))).alias("time_sec"),
         (F.col("total").cast("double") / F.lit(100.0)).alias("i_cm"),
-        *[c for c in rows.columns if c == SLICE],
+        SLICE,
     )
 
 
@@ -67,15 +68,18 @@ def _carried(rows: DataFrame, by: list[str]) -> DataFrame:
         .withColumns({"_before": F.sum("_sum").over(earlier), "_start": F.min("_first").over(earlier)})
         .select(*by, SLICE, "_before", "_start")
     )
+    keys = [*by, SLICE]
+    named = carry.withColumnsRenamed({k: f"_carry_{k}" for k in keys})
+    # A location may be missing, and is one location then.
     return (
-        rows.join(carry, [*by, SLICE], "left")
+        rows.join(named, same_key(rows, named, keys, "_carry_"), "left")
         .withColumns(
             {
                 "total": F.col("total") + F.coalesce("_before", F.lit(0)),
                 "start": F.least("start", "_start"),
             }
         )
-        .drop("_before", "_start")
+        .drop("_before", "_start", *[f"_carry_{k}" for k in keys])
     )
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.functions.values import col, count_ratio, finite
 
-# Below this share of the product of the two sums of squares the regressors are
-# collinear to working precision (a single time point, for example).
-COLLINEAR = 1e-12
+# Below this share of the weighted spread around the mean the points lie in one place
+# as far as the fit can tell (a single point beside zeros, for example).
+COLLINEAR = 1e-10
 
 
 def mean_(c: Column | str) -> Column:
@@ -46,22 +46,30 @@ def representative(c: Column | str) -> Column:
     return F.when(several, F.raise_error(F.lit("group has several values"))).otherwise(F.min(c))
 
 
-def fit_two_term(x: Column | str, z: Column | str, y: Column | str) -> tuple[Column, Column]:
-    """Least-squares ``y = c1*x + c2*z`` without intercept, in closed form."""
-    x, z, y = col(x), col(z), col(y)
-    complete = x.isNotNull() & z.isNotNull() & y.isNotNull()
+def fit_two_term(x: Column | str, y: Column | str) -> tuple[Column, Column]:
+    """Least-squares ``y = c1*x + c2*x*x`` without intercept, in closed form.
 
-    def total(product: Column) -> Column:
-        return F.sum(F.when(complete, product))
-
-    sxx, szz, sxz = total(x * x), total(z * z), total(x * z)
-    sxy, szy = total(x * y), total(z * y)
-    det = sxx * szz - sxz * sxz
-    det = F.when(det > F.lit(COLLINEAR) * sxx * szz, det)
-    return (
-        finite((szz * sxy - sxz * szy) / det),
-        finite((sxx * szy - sxz * sxy) / det),
-    )
+    It is the line ``y/x = c1 + c2*x`` under weights ``x*x``. Its weighted moments are
+    put together from moments about the mean of ``x``, which the engine merges
+    without loss, so that a late start of a series costs no digits.
+    """
+    x, y = col(x), col(y)
+    complete = x.isNotNull() & y.isNotNull()
+    x = F.when(complete, x)
+    n, mean, m2 = F.count(x).cast("double"), F.avg(x), F.regr_sxx(x, x)
+    # Third and fourth moments about the mean; without spread there is no fit.
+    spread = F.when(m2 > 0, m2)
+    m3 = F.skewness(x) * spread * F.sqrt(spread / n)
+    m4 = (F.kurtosis(x) + 3) * spread * spread / n
+    weight = mean * mean * n + m2
+    first = 2 * mean * m2 + m3
+    second = mean * mean * m2 + 2 * mean * m3 + m4
+    product = F.when(complete, x * y)
+    total = F.sum(product)
+    bottom = second - first * first / weight
+    bottom = F.when(bottom > F.lit(COLLINEAR) * second, bottom)
+    c2 = (F.regr_sxy(product, x) - first * total / weight) / bottom
+    return finite(total / weight - c2 * (mean + first / weight)), finite(c2)
 
 
 def fit_line(y: Column | str, x: Column | str, where: Column | None = None) -> tuple[Column, Column]:

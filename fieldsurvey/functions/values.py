@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_TOKENS = ("", "NA", "NaN")
+# Text NaN is a missing number, but a value like any other in a text column.
+NULL_TOKENS = ("", "NA")
 TRUE_WORDS = ("T", "TRUE", "1")
 FALSE_WORDS = ("F", "FALSE", "0")
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"

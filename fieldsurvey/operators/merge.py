@@ -18,7 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.skew import BROADCAST_KEYS, HEAVY_ROWS, fixed, looked_at, rows_in, rows_not_in, same_key, search_fraction
+from fieldsurvey.scratch import shared_folder
+from fieldsurvey.skew import (
+    BROADCAST_KEYS,
+    HEAVY_ROWS,
+    fits_broadcast,
+    fixed,
+    looked_at,
+    rows_in,
+    rows_not_in,
+    same_key,
+    search_fraction,
+)
 
 SALT = "_salt"
 
@@ -51,15 +62,20 @@ def merge_all(
     unique: bool = False,
     max_rows: int | None = HEAVY_ROWS,
     searched: Sequence[int] | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Full outer join of all frames; repeated keys multiply as in SQL.
 
-    Name the largest frame last: each join shuffles what is merged so far.
+    Name the largest frame last: each join shuffles what is merged so far. With
+    ``broadcast_bytes`` the others are merged and kept first; if they have no more bytes
+    than that, they are sent to all tasks and the rows of the last frame stay where they are.
     ``null_safe`` lets missing keys match each other. ``unique`` states that no
     frame repeats a key; the plan verifies it and fails otherwise. ``max_rows``
     is the size from which a key is heavy; None skips the search. ``searched``
     numbers the frames to search, by default all: leave out those with few rows
-    per key, above all if their keys are expensive to compute.
+    per key, above all if their keys are expensive to compute. If more than one
+    searched frame can repeat keys, all keys are counted: a key of moderate size in each
+    of them may still have a huge product, which a sample would not show.
     """
     on = [on] if isinstance(on, str) else list(on)
     names = [c for df in dfs for c in df.columns if c not in on]
@@ -68,6 +84,14 @@ def merge_all(
     columns = [*on, *names]
     if unique:
         return _merge_unique(dfs, on, null_safe).select(*columns)
+    if broadcast_bytes is not None and len(dfs) > 1:
+        last = len(dfs) - 1
+        own = None if searched is None else [i for i in searched if i < last]
+        others = fixed(merge_all(dfs[:-1], on, null_safe, max_rows=max_rows, searched=own))
+        if fits_broadcast(others, broadcast_bytes):
+            return _onto_last(others, dfs[-1], on, null_safe).select(*columns)
+        searched = None if searched is None else [0] * bool(own) + [1] * (last in searched)
+        dfs = [others, dfs[-1]]
     heavy = None if max_rows is None else _heavy_keys(dfs, on, max_rows, searched)
     if heavy is None:
         return reduce(lambda a, b: _outer(a, b, on, null_safe), dfs).select(*columns)
@@ -94,11 +118,26 @@ def _outer(a: DataFrame, b: DataFrame, on: list[str], null_safe: bool) -> DataFr
     return joined.withColumns(keys).drop(*[f"_right_{k}" for k in on])
 
 
+def _onto_last(others: DataFrame, last: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
+    """Full outer join in which only the distinct keys of ``last`` are shuffled."""
+    small = others.withColumnsRenamed({k: f"_small_{k}" for k in on})
+
+    def match(df: DataFrame) -> Column:
+        if null_safe:
+            return same_key(df, small, on, "_small_")
+        return reduce(lambda a, b: a & b, [df[k] == small[f"_small_{k}"] for k in on])
+
+    kept = last.join(F.broadcast(small), match(last), "left").drop(*[f"_small_{k}" for k in on])
+    keys = last.select(*on).distinct()
+    alone = small.join(keys, match(keys), "left_anti").withColumnsRenamed({f"_small_{k}": k for k in on})
+    return kept.unionByName(alone, allowMissingColumns=True)
+
+
 def _merge_unique(dfs: Sequence[DataFrame], on: list[str], null_safe: bool) -> DataFrame:
     tagged = [df.withColumn("_source", F.lit(i)) for i, df in enumerate(dfs)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    # Without null_safe a missing key matches nothing, so it stays with its source.
-    apart = F.lit(None).cast("int") if null_safe else F.when(~_complete(on), F.col("_source"))
+    # Without null_safe a missing key matches nothing, not even in its own source.
+    apart = F.lit(None).cast("bigint") if null_safe else F.when(~_complete(on), F.monotonically_increasing_id())
     values = [c for c in rows.columns if c not in (*on, "_source")]
     counts = [F.count_if(F.col("_source") == i) for i in range(len(dfs))]
     once = reduce(lambda a, b: a & b, [n <= 1 for n in counts])
@@ -122,9 +161,16 @@ def _heavy_keys(
 ) -> DataFrame | None:
     """Keys with many rows in a source or in the merged result, with all counts."""
     sources = range(len(dfs))
+    shared_folder(dfs[0].sparkSession)
     keys = {i: df.select(*on) for i, df in enumerate(dfs)}
-    looked = {i: looked_at(keys[i], max_rows) for i in (sources if searched is None else searched)}
-    met = _counts(looked, on, sources)
+    wanted = list(sources if searched is None else searched)
+    if not wanted:
+        return None
+    # A product of moderate sizes escapes a sample, so only a single source is sampled.
+    if len(wanted) > 1:
+        heavy = fixed(_counts(keys, on, sources).filter(_multiplicity(sources) > max_rows))
+        return None if heavy.isEmpty() else heavy
+    met = _counts({i: looked_at(keys[i], max_rows) for i in wanted}, on, sources)
     scale = 1 / search_fraction(max_rows)
     candidates = met.filter(_multiplicity(sources, scale) > max_rows / 2).select(*on)
     if candidates.isEmpty():
@@ -161,9 +207,9 @@ def _merge_heavy(dfs: Sequence[DataFrame], on: list[str], heavy: DataFrame, max_
     merged = padded[0]
     for i in steps:
         a, b, keys = merged, padded[i], list(on)
-        if (total[f"right{i}"] or 0) <= BROADCAST_KEYS:
+        if (total[f"right{i}"] or 0) <= BROADCAST_KEYS and fits_broadcast(b):
             b = F.broadcast(b)
-        elif total[f"left{i}"] <= BROADCAST_KEYS:
+        elif total[f"left{i}"] <= BROADCAST_KEYS and fits_broadcast(a):
             a = F.broadcast(a)
         else:
             a, b = _salt_both(a, b, on, heavy, i, max_rows, total["keys"] <= BROADCAST_KEYS)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fieldsurvey.functions.values import col, ratio
-from fieldsurvey.skew import HEAVY_ROWS, fixed, heavy_groups, rows_in, rows_not_in
+from fieldsurvey.skew import HEAVY_ROWS, fixed, heavy_groups, rows_in, rows_not_in, same_key
 
 SLICE = "_slice"
 
@@ -42,18 +42,17 @@ def neighbour_geomean(x: Column | str, by: Sequence[str], order: Sequence[str])
 def slice_heavy_groups(
     df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int | None = HEAVY_ROWS
 ) -> DataFrame:
-    """``df``, with heavy groups cut into slices numbered in ``order``.
+    """``df`` with a column ``_slice``; heavy groups are cut into slices in ``order``.
 
-    Without a heavy group the frame comes back as it is. Otherwise it has a
-    column ``_slice``: 0 for groups left whole, and for the others a number that
-    rises with ``order``. Rows of heavy groups are written to the shared folder
+    The number is 0 for groups left whole, and for the others it rises with
+    ``order``; if no group is heavy it is a literal, which costs nothing. Rows of heavy groups are written to the shared folder
     once, so the numbers stay fixed when tasks are run again. ``order`` should
     end in a tie-breaker: rows equal in all of it stay in one slice.
     """
     by, order = list(by), list(order)
     heavy = None if max_rows is None else heavy_groups(df, by, max_rows)
     if heavy is None:
-        return df
+        return df.withColumn(SLICE, F.lit(0))
     rows = heavy.agg(F.sum("_n")).first()[0]
     ranged = rows_in(df, heavy, by).repartitionByRange(math.ceil(rows / max_rows), *by, *order)
     sliced = fixed(ranged.withColumn(SLICE, F.spark_partition_id() + 1))
@@ -69,7 +68,8 @@ def slice_keys(df: DataFrame, by: Sequence[str]) -> list[str]:
 def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Adds ``next_<c>`` for each of ``cols``, across slice borders as well."""
     by, order = list(by), list(order)
-    window = in_order(slice_keys(df, by), order)
+    keys = slice_keys(df, by)
+    window = in_order(keys, order)
     ahead = {f"next_{c}": F.lead(c).over(window) for c in cols}
     if SLICE not in df.columns:
         return df.withColumns(ahead)
@@ -82,10 +82,13 @@ def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequ
     border = (
         heads.withColumn(SLICE, F.lag(SLICE).over(in_order(by, [SLICE])))
         .filter(F.col(SLICE).isNotNull())
-        .select(*by, SLICE, "_head.*", F.lit(True).alias("_border"))
+        .withColumnsRenamed({k: f"_border_{k}" for k in keys})
     )
-    both = df.withColumn("_border", F.lit(False)).unionByName(border, allowMissingColumns=True)
-    return both.withColumns(ahead).filter(~F.col("_border")).drop("_border")
+    # The last row of a slice looks at the first one of the next slice.
+    paired = df.withColumns({**ahead, "_inside": F.lead(F.lit(True)).over(window)})
+    joined = paired.join(border, same_key(paired, border, keys, "_border_"), "left")
+    crossed = {f"next_{c}": F.when(F.col("_inside"), F.col(f"next_{c}")).otherwise(F.col(f"_head.{c}")) for c in cols}
+    return joined.withColumns(crossed).drop("_inside", "_head", *[f"_border_{k}" for k in keys])
 
 
 def share_of_group(c: Column | str, by: Sequence[str]) -> Column:

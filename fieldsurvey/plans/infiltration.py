@@ -71,9 +71,9 @@ def infiltration_features(
     )
 
 
-def fit_ci(time: str = "time_sec", y: str = "i_cm") -> list[Column]:
+def fit_ci(y: str = "i_cm") -> list[Column]:
     """Cumulative infiltration: two terms, all readings."""
-    c1, c2 = fit_two_term("sqrt_time", time, y)
+    c1, c2 = fit_two_term("sqrt_time", y)
     return [c1.alias("c1_ci"), c2.alias("c2_ci")]
 
 
@@ -97,7 +97,7 @@ def fit_methods(
     min_time: float = MIN_TIME, r2_filtered: bool = False,
 ) -> DataFrame:
     """All estimates and R squared, one row per location."""
-    return features.groupBy(by).agg(*fit_ci(time, y), *fit_cl(time, min_time, r2_filtered), *fit_dl())
+    return features.groupBy(by).agg(*fit_ci(y), *fit_cl(time, min_time, r2_filtered), *fit_dl())
 
 
 def coefficients_long(fits: DataFrame, by: str = "location_id") -> DataFrame:

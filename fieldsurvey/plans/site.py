@@ -16,7 +16,7 @@ from fieldsurvey.operators.cover import (
 from fieldsurvey.operators.frames import fill_text, null_tokens, relocate_first
 from fieldsurvey.operators.merge import merge_all
 from fieldsurvey.plans.infiltration import with_site
-from fieldsurvey.skew import HEAVY_ROWS
+from fieldsurvey.skew import BROADCAST_BYTES, HEAVY_ROWS
 from fieldsurvey.study import (
     BLANK_CODES,
     CANOPY_CODES,
@@ -41,15 +41,22 @@ def site_merge(
     soil: DataFrame,
     on: str = "location_id",
     max_rows: int | None = HEAVY_ROWS,
+    broadcast_bytes: int | None = BROADCAST_BYTES,
 ) -> DataFrame:
-    """All sources on the location key, with its parts and burn severity."""
+    """All sources on the location key, with its parts and burn severity.
+
+    Measured sources small enough for every task leave the survey where it is.
+    """
     survey = fill_text(survey, [c for c in BLANK_CODES if c in survey.columns])
     fits = fits.select(*[c for c in MERGED_FITS if c in fits.columns])
     soil = soil.withColumnsRenamed({"notes": "notes_soil"})
     # The result does not depend on the order of joining. Every further join
     # shuffles what is merged so far, so the large survey table comes last.
     # Fits have one row per location and may be expensive, so they are not searched.
-    merged = merge_all([fits, density, soil, survey], on, null_safe=True, max_rows=max_rows, searched=[1, 2, 3])
+    merged = merge_all(
+        [fits, density, soil, survey], on, null_safe=True, max_rows=max_rows, searched=[1, 2, 3],
+        broadcast_bytes=broadcast_bytes,
+    )
     columns = [c for df in (survey, fits, density, soil) for c in df.columns if c != on]
     # The grid coordinates stay text in this table.
     return relocate_first(with_site(merged, on, ["plot_id"]), [on, *KEY_PARTS, "burn_severity", *columns])

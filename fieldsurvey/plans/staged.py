@@ -14,6 +14,7 @@ from fieldsurvey.sources.delimited import read_table, write_table
 from fieldsurvey.study import (
     DENSITY_SPEC,
     FIT_EXPORT,
+    FULL_EXPORT,
     READINGS_SPEC,
     SOIL_SPEC,
     SUMMARY_EXPORT,
@@ -68,6 +69,6 @@ def run_pipeline(
     frames = {name: read_table(spark, sources[name], compact=spec) for name, spec in SOURCE_SPECS.items()}
     tables = run_stages(frames, out_dir, params, **summary_options)
     write_table(tables["fits"], f"{out_dir}/fits_csv", ["location_id"], names=export_names(FIT_EXPORT))
-    write_table(tables["full"], f"{out_dir}/full_csv")
+    write_table(tables["full"], f"{out_dir}/full_csv", names=export_names(FULL_EXPORT))
     write_table(tables["plot_summary"], f"{out_dir}/plot_summary_csv", ["plot_id"], names=export_names(SUMMARY_EXPORT))
     return tables

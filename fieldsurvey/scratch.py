@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,15 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    local = re.fullmatch(r"local(\[.*\])?", context.master) is not None
     if not folder:
-        if not context.master.startswith("local"):
+        if not local:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder")
         folder = tempfile.mkdtemp(prefix="fieldsurvey-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if not local and "://" not in folder and not folder.startswith("file:") and _default_is_local(context):
+        raise RuntimeError(f"{CHECKPOINT_CONF} names a folder of one machine: {folder}")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def _default_is_local(context) -> bool:
+    return context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten there."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -22,6 +22,8 @@ from fieldsurvey.scratch import shared_folder
 HEAVY_ROWS = 20_000_000
 # Key rows sent to every executor; beyond it the engine joins by shuffle.
 BROADCAST_KEYS = 100_000
+# Rows of any width sent to every executor, measured as text.
+BROADCAST_BYTES = 64 << 20
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -37,14 +39,22 @@ def search_fraction(max_rows: int) -> float:
 
 def looked_at(df: DataFrame, max_rows: int) -> DataFrame:
     fraction = search_fraction(max_rows)
-    return df if fraction == 1.0 else df.sample(fraction)
+    return df if fraction == 1.0 else df.sample(fraction, seed=1)
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows, written as text, have at most ``limit`` bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return (size or 0) <= limit
 
 
 def heavy_groups(df: DataFrame, by: list[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows and their count ``_n``, or None.
 
-    The table has at most ``rows / max_rows`` rows.
+    The table has at most ``rows / max_rows`` rows. Whether there will be any is
+    not known before, so the shared folder must be there in any case.
     """
+    shared_folder(df.sparkSession)
     met = looked_at(df.select(*by), max_rows).groupBy(*by).agg(F.count("*").alias("_n"))
     candidates = met.filter(F.col("_n") > max_rows * search_fraction(max_rows) / 2)
     if candidates.isEmpty():
@@ -56,7 +66,7 @@ def heavy_groups(df: DataFrame, by: list[str], max_rows: int) -> DataFrame | Non
 
 def _match(df: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:
     renamed = keys.select(*[F.col(k).alias(f"_key_{k}") for k in by])
-    if renamed.count() <= BROADCAST_KEYS:
+    if renamed.count() <= BROADCAST_KEYS and fits_broadcast(renamed):
         renamed = F.broadcast(renamed)
     return df.join(renamed, same_key(df, renamed, by, "_key_"), how)
 

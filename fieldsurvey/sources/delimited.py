@@ -24,6 +24,8 @@ LETTERS = {
     "D": T.DateType(),
 }
 SKIP = "-"
+# Quotes inside quoted text are doubled, and a backslash is a character like any other.
+QUOTING = {"quote": '"', "escape": '"'}
 
 
 def snake(name: str) -> str:
@@ -61,29 +63,36 @@ def read_table(
     schema: T.StructType | None = None,
     compact: str | None = None,
     names: Sequence[str] | None = None,
+    multi_line: bool = False,
+    lenient: bool = False,
 ) -> DataFrame:
     """Header file with declared types, by schema or by compact specification.
 
-    Columns are taken by position. Fields are scanned as text, only those kept,
-    and converted leniently. With
-    ``compact`` the names come from the header unless given.
+    Columns are taken by position. Fields are scanned as text and converted leniently.
+    With ``compact`` the names come from the header unless given. ``multi_line`` allows
+    line breaks inside quotes; a file is then read by one task, so it is off by default.
+    A line with more or fewer fields than the header is an error; with ``lenient``
+    missing fields are NULL, surplus ones are dropped, and only the kept fields are scanned.
     """
     if (schema is None) == (compact is None):
         raise ValueError("give either a schema or a compact specification")
     if schema is None:
         if names is None:
-            names = [snake(c) for c in spark.read.csv(path, header=True).columns]
+            names = [snake(c) for c in spark.read.csv(path, header=True, multiLine=multi_line, **QUOTING).columns]
         schema, kept = compact_schema(compact, names)
     else:
         kept = schema.fieldNames()
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.csv(
+    raw = spark.read.option("columnPruning", lenient).csv(
         path,
         schema=text,
         header=True,
         nullValue="NA",
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
+        multiLine=multi_line,
+        mode="PERMISSIVE" if lenient else "FAILFAST",
+        **QUOTING,
     )
     return raw.select(*[parse_col(F.col(c), schema[c].dataType).alias(c) for c in kept])
 
@@ -98,6 +107,7 @@ def write_table(
 ) -> None:
     """Writes ``df``, NULL as ``na``, columns renamed by ``names``.
 
+    In delimited files whole numbers have no decimal point, whatever their type.
     ``order_by`` sorts by range over all files; leave it empty for large tables
     whose order does not matter. An existing path is an error.
     """
@@ -106,11 +116,18 @@ def write_table(
     if names:
         df = df.withColumnsRenamed(dict(names))
     if fmt == "csv":
-        df.write.csv(path, header=True, nullValue=na, emptyValue="")
+        plain = [_plain_number(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]
+        df.select(*plain).write.csv(path, header=True, nullValue=na, emptyValue="", **QUOTING)
     else:
         df.write.format(fmt).save(path)
 
 
+def _plain_number(c: Column) -> Column:
+    """Text of a number, without ``.0`` where it is whole and exactly held."""
+    whole = (F.abs(c) < 2**53) & (c == F.floor(c))
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+
+
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
     """Code list with columns ``code`` and ``name``; any line ending."""
     return read_table(spark, path, schema=T.StructType().add("code", "string").add("name", "string"))

@@ -128,6 +128,17 @@ can_woody_dead.prop can_total.prop can_foliar.prop
 over_PIPO.prop over_PSME.prop over_QUGA.prop over_total.prop
 """.split()
 
+# Column names of the exported merged table; survey columns as in their file.
+FULL_EXPORT = """
+location_ID plot_ID x.m y.m burn_severity
+WD_0cm_1.sec WD_0cm_2.sec WD_0cm_3.sec WD_1cm_1.sec WD_1cm_2.sec WD_1cm_3.sec
+WD_2cm_1.sec WD_2cm_2.sec WD_2cm_3.sec WD_3cm_1.sec WD_3cm_2.sec WD_3cm_3.sec
+WD_4cm.hydrophobic WD_5cm.hydrophobic litter_depth.cm theta_i.percent
+ground_cover LF1 LF2 LF3 overstory1 overstory2
+S.mm_hr0.5 kfs.mm_hr hf.m a1 a2 c1 c2 bulk_density.gcm3
+sand.percent silt.percent clay.percent total_organic_carbon.percent total_nitrogen.percent
+""".split()
+
 # Column letters of the source files.
 READINGS_SPEC = "Dfffnnnnn"
 SURVEY_SPEC = "c----nnnnnnnnnnnnllnnccccccc"

@@ -70,10 +70,43 @@ def test_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     write_table(df, path, ["a_b"], names={"a_b": "A.b"})
     lines = [line.value for line in spark.read.text(path).collect()]
-    assert set(lines) == {"A.b,s,v", "1,,NA", "2,NA,1.5", '3,"x,y",-2.0'}
+    assert set(lines) == {"A.b,s,v", "1,,NA", "2,NA,1.5", '3,"x,y",-2'}
     back = read_table(spark, path, compact="ncn")
     assert [tuple(r) for r in back.orderBy("a_b").collect()] == [(1.0, None, None), (2.0, None, 1.5), (3.0, "x,y", -2.0)]
     with pytest.raises(Exception):
         write_table(df, path)
     write_table(df, str(tmp_path / "parquet"), fmt="parquet")
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 3
+
+
+TEXTS = ['he said "a, b" twice', "path C:\\", 'a "', '""', "x,y", "back\\slash, and \"quote\"", "plain", "NaN"]
+
+
+def test_quoted_text_round_trip(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string").coalesce(1)
+    write_table(df, str(tmp_path / "out"))
+    back = read_table(spark, str(tmp_path / "out"), schema=df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert '"he said ""a, b"" twice"' in next((tmp_path / "out").glob("part-*")).read_text()
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "two\nlines"), (2, "one")], "id long, t string").coalesce(1)
+    write_table(df, str(tmp_path / "out"))
+    back = read_table(spark, str(tmp_path / "out"), schema=df.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("line", ["1", "1,x,5"])
+def test_malformed_lines_fail(spark, tmp_path, line):
+    path = text_file(tmp_path, f"a,b\n{line}\n")
+    schema = T.StructType().add("a", "integer").add("b", "string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, path, schema=schema).collect()
+    assert read_table(spark, path, schema=schema, lenient=True).first().a == 1
+
+
+def test_whole_numbers_have_no_point(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 0.5), (-3.0, None), (1e20, 2.0)], "a double, b double").coalesce(1)
+    write_table(df, str(tmp_path / "out"))
+    assert next((tmp_path / "out").glob("part-*")).read_text().split() == ["a,b", "1,0.5", "-3,NA", "1.0E20,2"]

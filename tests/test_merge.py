@@ -89,3 +89,34 @@ def test_unique_form_equals_chain(spark):
         spark.range(i, 60, i + 1).select(F.col("id").alias("k"), (F.col("id") * i).alias(f"v{i}")) for i in range(4)
     ]
     assert rows(merge_all(frames, "k", unique=True)) == rows(merge_all(frames, "k", max_rows=None))
+
+
+def test_moderate_keys_with_a_huge_product_are_found(spark):
+    """The search alone, at the real threshold: 2,000 rows of one key in each of three sources."""
+    frames = [
+        spark.range(50_000).select(F.when(F.col("id") < 2_000, 0).otherwise(F.col("id")).alias("k"), F.lit(1).alias(f"v{i}"))
+        for i in range(3)
+    ]
+    heavy = merge._heavy_keys(frames, ["k"], merge.HEAVY_ROWS)
+    assert [r.k for r in heavy.select("k").collect()] == [0]
+
+
+def test_no_source_searched(cover):
+    assert full_merge(*cover, ["p", "c"], null_safe=True, searched=[]).count() == 3
+
+
+def test_unique_form_keeps_missing_keys_of_one_source_apart(spark):
+    a = spark.createDataFrame([(None, 1), (None, 2), (3, 5)], "k int, a int")
+    b = spark.createDataFrame([(None, 7), (3, 8)], "k int, b int")
+    assert rows(full_merge(a, b, "k", unique=True)) == rows(full_merge(a, b, "k", max_rows=None))
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_small_others_leave_the_last_frame_in_place(spark, null_safe, limit):
+    n = F.col("id")
+    a = spark.range(20).select(F.when(n % 5 > 0, n % 13).alias("k"), n.alias("a"))
+    b = spark.range(9).select(F.when(n > 1, n * 3).alias("k"), n.alias("b"))
+    c = spark.range(300).select(F.when(n % 7 > 0, n % 17).alias("k"), n.alias("c"))
+    plain = merge_all([a, b, c], "k", null_safe, max_rows=None)
+    assert rows(merge_all([a, b, c], "k", null_safe, max_rows=None, broadcast_bytes=limit)) == rows(plain)

@@ -44,8 +44,22 @@ def test_next_across_slices(skewed):
     assert rows(with_next(cut, ["k"], order, ["v", "t"]), *names) == rows(plain, *names)
 
 
-def test_no_heavy_group_leaves_frame(skewed):
-    assert slice_heavy_groups(skewed, ["k"], ["t", "tie"], max_rows=10_000) is skewed
+def test_schema_does_not_depend_on_heavy_groups(skewed):
+    whole = slice_heavy_groups(skewed, ["k"], ["t", "tie"], max_rows=10_000)
+    cut = slice_heavy_groups(skewed, ["k"], ["t", "tie"], max_rows=120)
+    assert whole.dtypes == cut.dtypes
+    assert whole.filter(f"{SLICE} <> 0").isEmpty()
+
+
+def test_missing_location_is_one_series_in_slices(spark, sf_dir, monkeypatch):
+    """Half of the locations are missing; their running total goes on from slice to slice."""
+    key = F.when(F.col("user_id") % 2 == 1, F.col("user_id"))
+    names = ["location_id", "event_id", "time_sec", "i_cm"]
+    plain = rows(views.readings(spark, sf_dir, key), *names)
+    monkeypatch.setattr(views, "slice_heavy_groups", lambda df, by, order: slice_heavy_groups(df, by, order, max_rows=70))
+    cut = views.readings(spark, sf_dir, key)
+    assert cut.filter("location_id IS NULL").select(SLICE).distinct().count() > 5
+    assert rows(cut, *names) == plain
 
 
 def test_column_builders_agree_with_frames(skewed):

@@ -10,7 +10,7 @@ from fieldsurvey.functions.hydrology import HydraulicParams
 from fieldsurvey.plans.site import plot_means, plot_summary, site_merge
 from fieldsurvey.plans.staged import run_pipeline
 from fieldsurvey.scratch import new_table_path, shared_folder
-from fieldsurvey.study import SUMMARY_EXPORT, export_names
+from fieldsurvey.study import FULL_EXPORT, SUMMARY_EXPORT, export_names
 
 # Measured bulk densities by location, four per plot.
 DENSITY = """
@@ -148,8 +148,10 @@ def test_exports_carry_published_names(spark, run, files):
     folder = run["plot_summary"].inputFiles()[0].rsplit("/plot_summary/", 1)[0]
     exported = spark.read.csv(f"{folder}/plot_summary_csv", header=True)
     assert exported.columns == SUMMARY_EXPORT
-    assert [r[0] for r in exported.select("plot_ID").collect()] == ["1.0", "2.0", "3.0", "7.0"]
-    assert spark.read.csv(f"{folder}/full_csv", header=True).count() == run["full"].count()
+    assert [r[0] for r in exported.select("plot_ID").collect()] == ["1", "2", "3", "7"]
+    full = spark.read.csv(f"{folder}/full_csv", header=True)
+    assert full.count() == run["full"].count()
+    assert set(FULL_EXPORT) - set(full.columns) == set() and full.columns[:5] == FULL_EXPORT[:5]
 
 
 def test_means_flags(run):

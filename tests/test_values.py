@@ -19,7 +19,7 @@ def cells(spark, inputs, kind, *exprs):
 
 
 def test_missing_tokens(spark):
-    assert cells(spark, ["NA", "", "NaN", "a", None], "string", v.without_tokens("x")) == [None, None, None, "a", None]
+    assert cells(spark, ["NA", "", "NaN", "a", None], "string", v.without_tokens("x")) == [None, None, "NaN", "a", None]
 
 
 def test_numbers(spark):
