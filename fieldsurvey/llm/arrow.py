@@ -82,7 +82,9 @@ class Tokens:
         held = kind[at] != 0
         self.start, self.end = at[held], ends[held]
         self.kind = kind[self.start]
-        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        # First token of every row, and one past the last row.
+        self.first = np.append(np.searchsorted(self.start, offsets[:-1]), len(self.start))
+        self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
         self.offsets = offsets
         lengths = np.zeros(len(self.start) + 1, np.int64)
         np.cumsum(self.end - self.start, out=lengths[1:])
@@ -91,8 +93,6 @@ class Tokens:
         ).dictionary_encode()
         self.code = flat.indices.to_numpy(zero_copy_only=False)
         self.values: list[bytes] = flat.dictionary.to_pylist()
-        # First token of every row, and one past the last row.
-        self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every token."""
