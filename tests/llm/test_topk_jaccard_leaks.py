@@ -159,9 +159,9 @@ def test_candidates_against_all_passages(spark, benchmark):
     rows = benchmark.collect()
     items = leaks.Items([r.item_id for r in rows], [r.text for r in rows])
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
-    weight = leaks._frequencies(docs, "text", items.cells)
+    weight, halves = leaks._frequencies(docs, "text", items.cells)
     items.cells = items.telling(weight)
-    directions = leaks._directions(docs, "text", items, weight)
+    directions = leaks._directions(docs, "text", items, weight, halves)
     import pyarrow as pa
 
     passages = leaks.Passages(pa.array([t.text for t in docs.collect()]), items.cells)
