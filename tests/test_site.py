@@ -34,14 +34,14 @@ DENSITY = """
 
 # Texture class, sand, silt, clay, carbon and nitrogen by location.
 SOIL = """
-2_0_0 SL 72 24 4 2.6 0.13
-2_0_10 LS 76 20 4 2 0.11
-2_NA_NA LS 76 22 2 2.5 0.15000000000000002
-2_NA_NA SL 74 22 4 3.3 0.18
-7_0_0 SL 72 22 6 2.7 0.14
-7_0_10 SL 70 26 4 1.6 0.12000000000000001
-7_10_0 NA NA NA NA 3 0.22
-7_10_10 SL 68 28 4 2.5 0.19
+2_0_0,Sandy Loam,72,24,4,2.6,0.13
+2_0_10,Loamy Sand,76,20,4,2,0.11
+2_NA_NA,Loamy Sand,76,22,2,2.5,0.15000000000000002
+2_NA_NA,Sandy Loam,74,22,4,3.3,0.18
+7_0_0,Sandy Loam,72,22,6,2.7,0.14
+7_0_10,Sandy Loam,70,26,4,1.6,0.12000000000000001
+7_10_0,NA,NA,NA,NA,3,0.22
+7_10_10,Sandy Loam,68,28,4,2.5,0.19
 """
 
 # Published means of density by plot, and of the soil columns.
@@ -79,7 +79,7 @@ def files(tmp_path_factory):
     folder = tmp_path_factory.mktemp("sources")
     drops = [f"WD_{d}cm_{r}.sec" for d in range(4) for r in (1, 2, 3)]
     density = [line.split() for line in DENSITY.strip().splitlines()]
-    soil = [line.split() for line in SOIL.strip().splitlines()]
+    soil = [line.split(",") for line in SOIL.strip().splitlines()]
     readings = [
         ("2020-07-13", key, "a", "b", 0, t, 0, 0.1 * math.sqrt(t) + 0.01 * t, 0) for key in GRID for t in TIMES
     ]
