@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsurvey.llm.arrow import slices
 from fieldsurvey.scratch import new_table_path
 
 #: Text of a block, and text for each range.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 3 << 20, 12 << 20
 LEAST_RANGES = 32
 PACKED = "block long, role int, bytes long, rows binary"
 SENT = "kind int, range int, block long, role int, hashes binary, counts binary"
@@ -44,6 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        for place in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed_array(values: np.ndarray) -> bytes:
     """Whole numbers as compressed bytes; the bytes of equal weight stand together."""
     planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)

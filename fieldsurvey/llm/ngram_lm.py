@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldsurvey.llm.arrow import Tokens, chained, hash_values, replaced, with_fields, word_classes
-from fieldsurvey.llm.blocks import Items, joined, pack, ranges_for, stored, totals, with_totals
+from fieldsurvey.llm.blocks import Items, deleted, joined, pack, ranges_for, stored, totals, with_totals
 from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
 
 #: Part of the training texts whose events teach the weights: one of so many.
@@ -57,6 +57,8 @@ class Events:
         pair = chained([before, word]) & ~np.uint64(0xFF)
         self.words, self.word, self.word_counts = np.unique(word, return_inverse=True, return_counts=True)
         self.pairs, self.pair, self.pair_counts = np.unique(pair, return_inverse=True, return_counts=True)
+        # Places in the distinct hashes fit four bytes: a block holds some megabytes of text.
+        self.word, self.pair = self.word.astype(np.int32), self.pair.astype(np.int32)
         self.rows = rows
         # The context as a word of this block; a begin has its own count.
         self.context = np.append(-1, self.word[:-1]) if rows else self.word
@@ -119,7 +121,9 @@ def score(df: DataFrame, training: Column, text: str = "text", key: str = "doc_i
     distinct, mass, held = (int(x or 0) for x in words)
     unknown = 1 / (distinct + 1)
     weights = mixture(_held_out_events(blocks, answers, text, mass), unknown)
-    return _scored(df, blocks, answers, text, weights, distinct, mass + held, unknown)
+    scored = stored(_scored(df, blocks, answers, text, weights, distinct, mass + held, unknown), "lm-scores")
+    deleted(df.sparkSession, blocks, answers)
+    return scored
 
 
 def _held_out_events(blocks: DataFrame, answers: DataFrame, text: str, mass: int) -> np.ndarray:
@@ -146,8 +150,9 @@ def _scored(df: DataFrame, blocks: DataFrame, answers: DataFrame, text: str, wei
         all_ = {k: sum(joined(v)) for k, v in found.items()}
         bucket, two, one = events.estimates(all_[WORDS], all_[PAIRS], mass)
         count = all_[WORDS][events.word]
-        w = weights[bucket]
-        chance = w[:, 0] * two + w[:, 1] * one + w[:, 2] * unknown
+        two *= weights[bucket, 0]
+        one *= weights[bucket, 1]
+        chance = two + one + weights[bucket, 2] * unknown
         base = np.log10((count + 1) / (mass + distinct + 1))
         sums = lambda x: np.bincount(events.row, x, rows.num_rows)
         out = {
