@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsurvey.llm.arrow import Tokens, chained, word_classes
-from fieldsurvey.llm.blocks import Items, joined, pack, packed_sorted, ranges_for, stored, totals, unpacked_sorted, with_totals
+from fieldsurvey.llm.blocks import Items, deleted, joined, pack, packed_sorted, ranges_for, stored, totals, unpacked_sorted, with_totals
 from fieldsurvey.llm.graph import components
 
 WORDS = 5
@@ -145,7 +145,9 @@ def _indexed(sets: DataFrame, percent: int) -> DataFrame:
 
     answers = totals(blocks, items, ranges_for(blocks))
     schema = "fp binary, n long, s long, central double, items binary, lists array<long>, left array<long>"
-    return stored(with_totals(blocks, answers, task, schema), "jaccard-index")
+    index = stored(with_totals(blocks, answers, task, schema), "jaccard-index")
+    deleted(index.sparkSession, blocks)
+    return index
 
 
 def _size_block(n: Column) -> Column:
@@ -232,19 +234,26 @@ def links(index: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.least("fp", "a_fp").alias("a"), F.greatest("fp", "a_fp").alias("b"), (F.col("n") + F.col("a_n")).alias("sizes")
     ).distinct()
     more = overlaps(pairs, index).filter(F.col("both") >= least_overlap(F.col("sizes"), F.lit(0), percent)).select("a", "b")
-    return stored(made.unionByName(more), "jaccard-links")
+    found = stored(made.unionByName(more), "jaccard-links")
+    deleted(found.sparkSession, compared)
+    return found
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``df``."""
     blocks = stored(pack(df.select(key, text).withColumn("__role", F.lit(0)), text, "__role"), "jaccard-blocks")
     sets = stored(_sets_of(blocks, text, key, words, percent), "jaccard-found")
+    deleted(df.sparkSession, blocks)
     index = _indexed(sets, percent)
-    comps = components(links(index, percent)).withColumnRenamed("node", "fp")
+    found = links(index, percent)
+    comps = components(found).withColumnRenamed("node", "fp")
     own = sets.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
     placed = own.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = placed.select("fp", "comp").join(named, "comp").select("fp", "component_id")
     grouped = sets.filter("fp IS NOT NULL").join(of_class, "fp").select("id", "n", "component_id")
     alone = sets.filter("fp IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return grouped.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    placed = grouped.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    result = stored(placed, "jaccard-classes")
+    deleted(df.sparkSession, sets, index, found)
+    return result
