@@ -262,7 +262,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(vocabulary.value, pa.large_binary())
-        for batch in batches:
+        # Parts of a batch, since a list of ids can be long.
+        for batch in (b.slice(low, 1_000) for b in batches for low in range(0, b.num_rows, 1_000)):
             lists = batch.column(ids)
             flat = lists.flatten()
             each = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
