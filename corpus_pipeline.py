@@ -18,12 +18,21 @@ from fieldsurvey.llm import bpe, jaccard, leaks, quality, secrets
 from fieldsurvey.llm.blocks import stored
 from fieldsurvey.llm.queries import RANKS, digests, fold, table
 
+#: Rows of a batch between the engine and Python workers: texts can be long, and a worker and
+#: the engine hold some batches each. A session that sets a number keeps its own.
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A document stays with at least this probability of good quality.
 KEEP = 0.5
 
 
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").filter(fold(3) != 1)
     scored = quality.classify(docs, labels, out="__score", keep_text=True)
     return scored.filter(F.col("__score") >= KEEP).select(docs.columns)
@@ -31,6 +40,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
+    _small_batches(spark)
     found = jaccard.classes(docs.select("doc_id", "text"))
     kept = found.filter("doc_id = component_id").select("doc_id")
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -39,6 +49,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
+    _small_batches(spark)
     found = leaks.find(docs, table(spark, sf_dir, "benchmark"), out="__leaks")
     return found.filter(F.size("__leaks") == 0).select(docs.columns)
 
@@ -53,6 +64,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests that show that they decode to its text."""
+    _small_batches(spark)
     ids = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
     coded = bpe.decode(ids, RANKS)
     return coded.select("doc_id", "ids", "decoded").transform(lambda d: digests(d, "ids"))

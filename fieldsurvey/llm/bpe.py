@@ -31,10 +31,10 @@ from fieldsurvey.llm.arrow import replaced, with_fields
 # A vocabulary is sent to every executor; this bounds it.
 MAX_RANK_FILE = 64 << 20
 # A block ends at so many new words or so many words in its texts.
-BLOCK_WORDS = 150_000
-BLOCK_PIECES = 1_500_000
+BLOCK_WORDS = 100_000
+BLOCK_PIECES = 1_000_000
 # Words whose ids a task remembers between blocks.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:

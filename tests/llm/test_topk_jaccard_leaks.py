@@ -166,7 +166,7 @@ def test_candidates_against_all_passages(spark, benchmark):
 
     passages = leaks.Passages(pa.array([t.text for t in docs.collect()]), items.cells)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    full = np.zeros((passages.halves, leaks.CELLS), np.float32)
+    full = np.zeros((passages.halves, items.size), np.float32)
     np.add.at(full, (passages.half, passages.cell), weight[passages.cell])
     exact = unit(full) @ unit(items.vectors(weight)).T
     near = {(h, i) for h, i, _ in leaks._candidates(passages, directions, items.vectors(np.ones(leaks.CELLS, np.float32)) @ directions, leaks.COSINE)}
