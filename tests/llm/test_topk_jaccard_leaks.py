@@ -176,6 +176,25 @@ def test_candidates_against_all_passages(spark, benchmark):
     assert wanted and np.mean([w in near for w in wanted]) >= 0.9
 
 
+@pytest.mark.parametrize("length", [150, 300, 1000])
+def test_long_items_word_for_word(spark, benchmark, length):
+    """Items of many passages, whole or most of them, inside of other texts."""
+    texts = [d.text for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(400).collect()]
+    stock = " ".join(texts[200:]).split()
+    items = {900 + n: stock[n * length : (n + 1) * length] for n in range(8)}
+    both = benchmark.unionByName(spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    rows, planted = [], set()
+    for n, text in enumerate(texts[:160]):
+        own, item = text.split(), 900 + n % 8
+        at = random.Random(n).randrange(len(own) + 1)
+        # Every other text has the first 80 % only.
+        said = items[item][: length if n % 2 else length * 4 // 5]
+        rows.append((n, " ".join(own[:at] + said + own[at:])))
+        planted.add((n, item))
+    found = leaks.find(spark.createDataFrame(rows, "doc_id long, text string"), both).collect()
+    assert {(x.doc_id, y.item_id) for x in found for y in x.leaks if y.item_id >= 900} >= planted
+
+
 def test_leaks_of_odd_rows(spark, benchmark, monkeypatch):
     df = odd_docs(spark).withColumn("leaks", F.lit("mine"))
     item = benchmark.first().text
