@@ -35,6 +35,8 @@ CANDIDATES, QUERIES, BLOCK = 32_768, 1_024, 4_096
 ROUNDS = (1 / 16, 1 / 4, 1.0)
 #: Reading goes on while more than this part of a block's scores may still qualify.
 FEW = 0.02
+#: Bar of a query that has fewer than k candidates so far.
+LOWEST = -(2**62)
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -76,7 +78,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.score = np.full((queries, k), -(2**62))
+        self.score = np.full((queries, k), LOWEST)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
     def bar(self) -> np.ndarray:
@@ -113,10 +115,10 @@ def search(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray, ids:
             bar = best.bar()
             if part < 1:
                 # The k-th best lower bound of this block may be a better bar than what was found before.
-                lower = up @ lower_up.T + down @ lower_down.T
-                if len(block) > k + 1:
-                    # One more than k, since the query itself may be among them.
-                    kth = np.partition(lower, len(block) - k - 1, axis=1)[:, len(block) - k - 1]
+                if len(block) > k:
+                    # All rows with the query's id are removed in the end, so none of them may raise the bar.
+                    lower = np.where(query_ids[:, None] == own, kind(LOWEST), up @ lower_up.T + down @ lower_down.T)
+                    kth = np.partition(lower, len(block) - k, axis=1)[:, len(block) - k]
                     bar = np.maximum(bar, np.ceil(kth).astype(np.int64))
             open_ = upper >= bar[:, None]
             if part == 1 or open_.mean() <= FEW:

@@ -32,6 +32,17 @@ def test_search_against_all_scores(size, spread):
         assert (ident[query == n] == ids[best]).all() and (score[query == n] == all_scores[n, best]).all()
 
 
+@pytest.mark.parametrize("copies", [2, 21, 50, 81, 4090])
+def test_search_with_many_rows_of_the_query_id(copies):
+    """Rows with the query's own id, better than all others, in one block."""
+    values = np.random.default_rng(copies).integers(0, 10, (4096, 1))
+    ids = np.arange(4096) + 1
+    values[:copies], ids[:copies] = 10, 0
+    query, ident, score = topk.search(values[:1], ids[:1], values, ids, 20)
+    best = copies + np.lexsort((ids[copies:], -values[copies:, 0]))[:20]
+    assert ident.tolist() == ids[best].tolist() and score.tolist() == (10 * values[best, 0]).tolist()
+
+
 def test_top_k_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 3)
     monkeypatch.setattr(topk, "QUERIES", 1)
