@@ -5,7 +5,8 @@ before kept; results are written as Parquet and read again between stages.
 
 Defined results: NULL texts are scored, linked and encoded as empty ones; documents
 without an id are kept by the near-duplicate stage, since no group can name them; rows
-that share an id there count as one document; empty tables pass through all stages.
+that share an id and a text there count as one document, rows that share only an id are
+documents of their own; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -39,11 +40,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group, of several texts with that id one."""
     _small_batches(spark)
-    found = jaccard.classes(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # An id may stand on several rows: a row is known by its id and its text.
+    row = ["doc_id", "__print"]
+    printed = docs.withColumn("__print", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    found = jaccard.classes(printed.select(F.when(F.col("doc_id").isNotNull(), F.struct(*row)).alias("row"), "text"), key="row")
+    kept = found.filter("row = component_id").select("row.*")
+    named = printed.join(kept, row, "left_semi").dropDuplicates(row).drop("__print")
     return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 

@@ -73,8 +73,8 @@ def least_overlap(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
 
 
-def _sets_of(blocks: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
-    """id, n, fp, and for the first of equal sets in a block its shingles; fp is NULL where a set is alone."""
+def _sets_of(blocks: DataFrame, text: str, key: str, kind: str, words: int, percent: int) -> DataFrame:
+    """id (of type ``kind``), n, fp, and for the first of equal sets in a block its shingles; fp is NULL where a set is alone."""
     bytes_ = blocks.agg(F.sum("bytes")).first()[0] or 1
     # About one false match in 256 shingles.
     bits = min(64, max(24, int(np.ceil(np.log2(bytes_ / 4 + 1))) + 8))
@@ -107,7 +107,7 @@ def _sets_of(blocks: DataFrame, text: str, key: str, words: int, percent: int) -
 
     ranges = ranges_for(blocks)
     answers = totals(blocks, items, ranges, counted=False)
-    return with_totals(blocks, answers, task, "id long, n long, fp binary, items binary")
+    return with_totals(blocks, answers, task, f"id {kind}, n long, fp binary, items binary")
 
 
 def _indexed(sets: DataFrame, percent: int) -> DataFrame:
@@ -240,9 +240,9 @@ def links(index: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key, n_shingles, component_id`` for each row of ``df``."""
+    """``key, n_shingles, component_id`` for each row of ``df``; ``key`` has any type with an order."""
     blocks = stored(pack(df.select(key, text).withColumn("__role", F.lit(0)), text, "__role"), "jaccard-blocks")
-    sets = stored(_sets_of(blocks, text, key, words, percent), "jaccard-found")
+    sets = stored(_sets_of(blocks, text, key, df.schema[key].dataType.simpleString(), words, percent), "jaccard-found")
     deleted(df.sparkSession, blocks)
     index = _indexed(sets, percent)
     found = links(index, percent)

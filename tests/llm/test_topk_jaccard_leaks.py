@@ -255,6 +255,17 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == given.count()
 
 
+def test_near_duplicates_that_share_ids(spark):
+    """Rows with one id and different texts stay, but for copies of other rows."""
+    texts = [prose(seed, 40) for seed in range(5)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2]), (3, texts[0]), (8, texts[1]), (9, texts[3]), (None, texts[4]), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert found == sorted([(3, texts[0]), (5, texts[1]), (5, texts[2]), (9, texts[3]), (0, texts[4]), (5, "")])
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     docs = odd_docs(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     for name in ("labels", "benchmark"):
