@@ -206,6 +206,18 @@ def test_long_items_word_for_word(spark, benchmark, length):
     assert {(x.doc_id, y.item_id) for x in found for y in x.leaks if y.item_id >= 900} >= planted
 
 
+def test_short_items_word_for_word(spark, benchmark):
+    """Items of one to four words, found as whole word sequences only."""
+    short = spark.createDataFrame([(910, "Forty-two?"), (911, "Quokka"), (912, "who ate forty two"), (913, "forty"), (914, "forty two"), (915, "?!")], "item_id long, text string")
+    texts = ["It says: forty, TWO.", "ends with forty", "two begins", "who ate forty quokkas", "the quokka", "Who ate\nforty two", None, ""]
+    expected = [{910, 913, 914}, {913}, set(), {913}, {911}, {910, 912, 913, 914}, set(), set()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for items in (short, benchmark.unionByName(short)):
+        found = {r.doc_id: [x.item_id for x in r.leaks] for r in leaks.find(df, items).collect()}
+        assert [set(found[n]) for n in range(len(texts))] == expected
+        assert all(len(set(x)) == len(x) for x in found.values())
+
+
 def test_leaks_of_odd_rows(spark, benchmark, monkeypatch):
     df = odd_docs(spark).withColumn("leaks", F.lit("mine"))
     item = benchmark.first().text
