@@ -3,7 +3,8 @@
 Everything is Column and DataFrame code. Lines that begin with ``>`` marks are quoted;
 the number of marks is the level. Lines of one level in a row are a passage. A passage
 is normalised (lower case, white space runs as one space) and hashed, as a whole and by
-line, and so are the unquoted lines and the whole body of every message. The original
+line, and so are the unquoted lines, the paragraphs and the whole body of every message; line
+breaks count as spaces, so that lines may be wrapped anew. The original
 of a passage is the first message of the same conversation with that hash, if it came
 earlier; a whole passage weighs more than any number of single lines. A message replies
 to the original of its outermost quotation, else to the message before it.
@@ -129,11 +130,12 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     ``messages`` has c, t and x (text).
     """
     quoted = messages.filter(F.col("x").rlike(r"(?m)" + MARKS)).select("c", "t", F.posexplode(passages(F.col("x"))).alias("nth", "p"))
-    whole = quoted.select("c", "t", "nth", "p.level", _hash(F.array_join("p.lines", "\n")).alias("h"), F.lit(WHOLE).alias("weight"))
+    whole = quoted.select("c", "t", "nth", "p.level", _hash(F.array_join("p.lines", " ")).alias("h"), F.lit(WHOLE).alias("weight"))
     single = quoted.select("c", "t", "nth", "p.level", F.explode("p.lines").alias("line")).select("c", "t", "nth", "level", _hash(F.col("line")).alias("h"), F.lit(1).alias("weight"))
     wanted = whole.unionByName(single).groupBy("c", "t", "nth", "level", "h").agg(F.max("weight").alias("weight"))
     own = F.filter(F.transform(F.split(body_of(F.col("x")), "\n", -1), normalised), lambda x: x != "")
-    pieces = F.array_distinct(F.concat(F.array(F.array_join(own, "\n")), own))
+    paragraphs = F.transform(F.split(body_of(F.col("x")), r"\n\s*\n", -1), normalised)
+    pieces = F.array_distinct(F.concat(F.array(F.array_join(own, " ")), paragraphs, own))
     # Only conversations with quotations are searched; the first message with a hash is its original.
     with_quotes = quoted.select("c").distinct()
     first = (

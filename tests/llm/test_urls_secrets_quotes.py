@@ -206,6 +206,14 @@ def test_threads_against_brute_force(spark, partitions):
     assert next(r for r in found if (r.conv_id, r.turn) == (1, 3)).body == "ok!"
 
 
+def test_quotes_with_lines_wrapped_anew(spark):
+    """A whole message and a paragraph of another one, with line breaks at other words."""
+    rows = [(1, 1, "one two three\nfour five six"), (1, 2, "alpha beta\ngamma delta\n\nlast words"), (1, 3, "other"),
+            (1, 4, "> one two\n> three four\n> five six\nyes"), (1, 5, "> alpha\n> beta gamma delta\nno")]
+    found = quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {r.turn: (r.n_linked, r.reply_to) for r in found} == {1: (0, None), 2: (0, 1), 3: (0, 2), 4: (1, 1), 5: (1, 2)}
+
+
 def test_quotes_of_odd_tables(spark):
     df = odd_docs(spark).withColumn("turn", F.col("n").cast("long")).withColumn("depth", F.lit("mine"))
     out = quotes.thread(df, conversation="doc_id")
