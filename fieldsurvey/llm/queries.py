@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm import audit, bpe, jaccard, langid, leaks, ngram_lm, quality, quotes, secrets, topk, url_rules, walsh
+from fieldsurvey.llm import audit, bpe, jaccard, langid, leaks, ngram_lm, prefixfree, quality, quotes, secrets, topk, url_rules, walsh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -248,3 +248,15 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c
     sha256(array_to_string(c3.v, ',')) AS centroid_sha256
 FROM a3 JOIN c3 USING (c)
 """
+
+
+@query
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixfree.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
