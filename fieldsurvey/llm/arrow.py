@@ -125,7 +125,15 @@ def chained(parts: list[np.ndarray]) -> np.ndarray:
 def map_arrow(
     df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    return df.mapInArrow(task, schema)
+    """``df.mapInArrow``, which by itself fails for columns with a dot or a backtick in their name."""
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(task, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return task(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
 def with_fields(df: DataFrame, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> T.StructType:

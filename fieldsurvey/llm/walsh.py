@@ -15,13 +15,14 @@ component are left out; ties go to the smaller centroid; repeated rows are vecto
 row without an id is clustered like any other, and its id counts as no digits in the choice of
 the first centroids, where equal ids go by their components; with fewer vectors than
 centroids there are as many centroids as vectors; a distance or a sum of distances that does
-not fit a long is an error; other columns pass through, those named like a new column are
+not fit a long is an error, and so are components and their sums beyond 38 digits; other columns pass through, those named like a new column are
 replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldsurvey.llm.arrow import replaced, with_fields
+from fieldsurvey.llm.arrow import map_arrow, replaced, with_fields
 from fieldsurvey.llm.blocks import stored
 
 #: Rows searched at once.
@@ -148,12 +149,12 @@ def moved(kept: DataFrame, centroids: list[list[int]], scale: int, vector: str)
                 count += np.bincount(found, minlength=len(centroids))
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array(count[used]), pa.array([[int(x) for x in s] for s in sums[used]], pa.list_(pa.int64()))],
+            [pa.array(used, pa.int32()), pa.array(count[used]), pa.array([[str(x) for x in s] for s in sums[used]], pa.list_(pa.string()))],
             ["cluster", "n", "sums"],
         )
 
-    parts = kept.select(F.col(vector).alias("v")).mapInArrow(task, "cluster int, n long, sums array<long>")
-    total = [F.sum(F.get("sums", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in range(dims)]
+    parts = kept.select(F.col(vector).alias("v")).mapInArrow(task, "cluster int, n long, sums array<string>")
+    total = [F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)]
     out = list(centroids)
     for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *total).collect():
         out[r.cluster] = [int(r[f"s{i}"]) // r.n for i in range(dims)]
@@ -182,14 +183,14 @@ def cluster(
             for part, _, found, distance in searched(batch, vector, centroids, scale):
                 yield replaced(part, {"cluster": pa.array(found, pa.int32()), "distance": pa.array(distance)}, drop)
 
-    assigned = stored(kept.mapInArrow(task, with_fields(df, new, drop)), "clusters")
+    assigned = stored(map_arrow(kept, task, with_fields(df, new, drop)), "clusters")
     sums = {r.cluster: int(r.d) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("d")).collect()}
     whole_sum = sum(sums.values())
     if whole_sum > LARGEST:
         raise ArithmeticError("the sum of squared distances does not fit a long")
     facts = spark.createDataFrame(
-        [(c, sums.get(c, 0), whole_sum, v) for c, v in enumerate(centroids)],
-        "cluster int, cluster_inertia long, inertia long, centroid array<long>",
+        [(c, sums.get(c, 0), whole_sum, [*map(Decimal, v)]) for c, v in enumerate(centroids)],
+        "cluster int, cluster_inertia long, inertia long, centroid array<decimal(38,0)>",
     )
     # As many rows as centroids.
     return assigned.join(F.broadcast(facts), "cluster")
