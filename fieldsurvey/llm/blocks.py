@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm.arrow import slices
+from fieldsurvey.llm.arrow import map_arrow, slices
 from fieldsurvey.scratch import new_table_path
 
 #: Text of a block, and text for each range.
@@ -77,9 +77,10 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked_array(data), dtype=np.uint64)
 
 
-def packed_rows(batch: pa.RecordBatch | pa.Table) -> bytes:
+def packed_rows(batch: pa.RecordBatch | pa.Table, level: int | None = None) -> bytes:
+    """``batch`` as compressed bytes, smaller and slower with a higher ``level``."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write(batch)
     return sink.getvalue().to_pybytes()
 
@@ -89,7 +90,7 @@ def unpacked_rows(data: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
-def pack(df: DataFrame, text: str, role: str) -> DataFrame:
+def pack(df: DataFrame, text: str, role: str, level: int | None = None) -> DataFrame:
     """Rows of ``df`` in blocks of one ``role`` (0, 1 or 2) each; not written yet."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def pack(df: DataFrame, text: str, role: str) -> DataFrame:
         def block(number: int) -> pa.RecordBatch:
             nonlocal serial
             rows, size = held.pop(number)
-            data = packed_rows(pa.Table.from_batches(rows).combine_chunks())
+            data = packed_rows(pa.Table.from_batches(rows).combine_chunks(), level)
             serial += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([(task_id << 32) + serial]), pa.array([number], pa.int32()), pa.array([size]), pa.array([data])],
@@ -118,7 +119,7 @@ def pack(df: DataFrame, text: str, role: str) -> DataFrame:
         for number in list(held):
             yield block(number)
 
-    return df.mapInArrow(task, PACKED)
+    return map_arrow(df, task, PACKED)
 
 
 def ranges_for(blocks: DataFrame) -> int:

@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from fieldsurvey.llm.arrow import mixed, replaced, text_bytes, with_fields
 from fieldsurvey.llm.blocks import (
+    RANGE_BYTES,
     Items,
     deleted,
     joined,
@@ -61,13 +62,15 @@ LENGTH = 400
 #: Bytes of a trigger, and one position in how many is one.
 WINDOW, EVERY = 12, 32
 #: Least bytes of an item.
-ITEM = 96
+ITEM = 48
 #: Occurrences from which on an item is too common for an anchor.
 COMMON = 1_000
 #: Distinct segments sorted at once.
 SORTED_BYTES = 2 << 20
 #: Ranges of segments for each range of items.
 SEGMENT_RANGES = 2
+#: Compression of what is written and shuffled.
+LEVEL = 6
 SEGMENTS, STRINGS, PLAN = 0, 1, 2
 SENT = "kind int, range int, block long, data binary"
 FACTS = [
@@ -107,9 +110,9 @@ class Rolling:
 
 
 class Parsed:
-    """Triggers and items of the texts of a block."""
+    """Triggers and items of the texts of a block; hashes of items have ``bits`` bits, the upper ones."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, bits: int = 64):
         self.data, self.offsets = text_bytes(column)
         self.rolling = Rolling(self.data)
         at = self.rolling.triggers(self.offsets)
@@ -119,7 +122,7 @@ class Parsed:
         end = at[last[begin]] + WINDOW
         fits = end <= np.minimum(self.offsets[np.searchsorted(self.offsets, at[begin], "right")], at[begin] + LENGTH)
         self.start, self.end = at[begin][fits], end[fits]
-        self.hash = self.rolling.of(self.start, self.end - self.start)
+        self.hash = self.rolling.of(self.start, self.end - self.start) >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
     def items(self) -> Items:
         found, count = np.unique(self.hash, return_counts=True)
@@ -168,9 +171,9 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def to_send(block: int, rows: pa.RecordBatch, text: str, counts: np.ndarray, ranges: int) -> pa.Table:
+def to_send(block: int, rows: pa.RecordBatch, text: str, counts: np.ndarray, ranges: int, bits: int = 64) -> pa.Table:
     """SENT rows of a block: its segments, its single strings, and where they stand."""
-    parsed = Parsed(rows.column(text))
+    parsed = Parsed(rows.column(text), bits)
     count = counts[np.searchsorted(np.unique(parsed.hash), parsed.hash)] if len(parsed.hash) else np.zeros(0, np.int64)
     begin, number, anchor = parsed.runs(count)
     rare = np.append(count, COMMON + 1)[anchor] <= COMMON
@@ -191,7 +194,7 @@ def to_send(block: int, rows: pa.RecordBatch, text: str, counts: np.ndarray, ran
         out.append((SEGMENTS, target, packed_rows(pa.RecordBatch.from_arrays([
             pa.array(parsed.hash[of[lead[mine]]]), pa.array(key[lead[mine]]), pa.array(times[mine] > 1),
             pa.array([parsed.data[s : s + n].tobytes() for s, n in zip(start[lead[mine]], length[lead[mine]])], pa.binary()),
-        ], ["anchor", "key", "many", "bytes"]))))
+        ], ["anchor", "key", "many", "bytes"]), LEVEL)))
     # Single strings by hash, each once.
     single = every(begin[~rare], number[~rare])
     hashes, string, seen = np.unique(parsed.rolling.of(single, LENGTH), return_inverse=True, return_counts=True)
@@ -422,15 +425,17 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     role = "role"
     while role in df.columns:
         role += "_"
-    blocks = stored(pack(df.withColumn(role, F.lit(0)), text, role), "repeat-blocks")
+    blocks = stored(pack(df.withColumn(role, F.lit(0)), text, role, LEVEL), "repeat-blocks")
     ranges = ranges_for(blocks)
-    counts = totals(blocks, lambda rows: Parsed(rows.column(text)).items(), ranges).filter("block >= 0").select("block", "range", "totals")
+    # A false match of short hashes, one item in some hundred, only sends a string that is not repeated.
+    bits = min(64, (ranges * RANGE_BYTES).bit_length() + 3)
+    counts = totals(blocks, lambda rows: Parsed(rows.column(text), bits).items(), ranges).filter("block >= 0").select("block", "range", "totals")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = sorted(zip(right.column("range").to_pylist(), right.column("totals").to_pylist()))
         counted = sum(joined([unpacked_array(p) for _, p in parts]))
         rows = unpacked_rows(left.column("rows")[0].as_py())
-        return to_send(left.column("block")[0].as_py(), rows, text, counted, SEGMENT_RANGES * ranges)
+        return to_send(left.column("block")[0].as_py(), rows, text, counted, SEGMENT_RANGES * ranges, bits)
 
     def answer(group: pa.Table) -> pa.Table:
         data = group.column("data").to_pylist()
