@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldsurvey.checks import aggregates, cells, covers, fits, merges, tables
+from fieldsurvey.checks import aggregates, cells, covers, files, fits, merges, tables
 from fieldsurvey.checks.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "cells", "covers", "fits", "merges", "tables"]
+__all__ = ["QUERIES", "SQL", "aggregates", "cells", "covers", "files", "fits", "merges", "tables"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.functions.hydrology import HydraulicParams
 from fieldsurvey.plans.site import plot_means, plot_summary, site_merge
+from fieldsurvey.plans import staged
+from fieldsurvey.plans.manifest import Stages, files_of
 from fieldsurvey.plans.staged import run_pipeline
 from fieldsurvey.scratch import new_table_path, shared_folder
 from fieldsurvey.study import FULL_EXPORT, SUMMARY_EXPORT, export_names
@@ -210,3 +212,70 @@ def test_cluster_without_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="shared folder"):
         shared_folder(Session)
+
+
+def summary_rows(tables):
+    return sorted(map(repr, tables["plot_summary"].collect()))
+
+
+def killed(*args, **kwargs):
+    raise RuntimeError("killed")
+
+
+def test_killed_run_goes_on_after_its_last_stage(spark, files, run, monkeypatch):
+    """Stopped in its third stage, and again in its exports: finished stages are read, not made again."""
+    folder = new_table_path(spark, "restart")
+    with monkeypatch.context() as m:
+        m.setattr(staged, "plot_summary", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            run_pipeline(spark, files, HydraulicParams(), folder)
+    made = [f for f in files_of(spark, folder) if "/fits/" in f[0] or "/full/" in f[0]]
+    write_table = staged.write_table
+    with monkeypatch.context() as m:
+        m.setattr(staged, "infiltration_fit", killed)
+        m.setattr(staged, "site_merge", killed)
+        m.setattr(staged, "write_table", lambda df, path, *a, **k: write_table(df, path, *a, **k) if "fits" in path else killed())
+        stages = Stages(spark, folder)
+        with pytest.raises(RuntimeError, match="killed"):
+            run_pipeline(spark, files, HydraulicParams(), folder, stages=stages)
+        assert stages.reused == ["fits", "full"]
+    stages = Stages(spark, folder)
+    tables = run_pipeline(spark, files, HydraulicParams(), folder, stages=stages)
+    assert stages.reused == ["fits", "full", "plot_summary", "fits_csv"]
+    assert [f for f in files_of(spark, folder) if f in made] == made
+    assert summary_rows(tables) == summary_rows(run)
+    assert spark.read.csv(f"{folder}/plot_summary_csv", header=True).columns == SUMMARY_EXPORT
+
+
+def test_changed_inputs_parameters_and_files_are_made_again(spark, files, run, tmp_path):
+    folder = new_table_path(spark, "again")
+    own = dict(files, soil=str(tmp_path / "soil.csv"))
+    content = open(files["soil"]).read()
+    (tmp_path / "soil.csv").write_text(content)
+    run_pipeline(spark, own, HydraulicParams(), folder)
+
+    def reused(params=HydraulicParams(), **options):
+        stages = Stages(spark, folder)
+        tables = run_pipeline(spark, own, params, folder, stages=stages, **options)
+        return stages.reused, tables
+
+    every = ["fits", "full", "plot_summary", "fits_csv", "full_csv", "plot_summary_csv"]
+    names, tables = reused()
+    assert names == every and summary_rows(tables) == summary_rows(run)
+    assert reused(replicate_mode="first")[0] == ["fits", "full", "fits_csv", "full_csv"]
+    # Another source below the second stage, then a file of the first stage lost.
+    (tmp_path / "soil.csv").write_text(content.replace("Loamy Sand,76,20,4", "Loamy Sand,76,10,14"))
+    names, tables = reused()
+    assert names == ["fits", "fits_csv"] and summary_rows(tables) != summary_rows(run)
+    (tmp_path / "soil.csv").write_text(content)
+    reused()
+    import os
+
+    lost = next(f for f, n, _ in files_of(spark, f"{folder}/fits") if n)
+    os.remove(lost.removeprefix("file:"))
+    names, tables = reused()
+    # Later stages are made of the same inputs, so they stand.
+    assert names == [s for s in every if s != "fits"] and summary_rows(tables) == summary_rows(run)
+    # Without stamps the folder must be new.
+    with pytest.raises(Exception, match="(?i)exist"):
+        staged.stage(tables["fits"], f"{folder}/fits")
