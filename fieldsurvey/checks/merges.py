@@ -120,3 +120,42 @@ def site_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     soil = of("error", 30, parity).agg(peak.alias("sand_percent")).select("location_id", "sand_percent", "notes")
     # At most two rows per location in each source, so no location can be heavy.
     return site_merge_plan(survey_rows, fits, density, soil, max_rows=None)
+
+
+_SPINE = {"c": ("customer", "c_custkey", "c_nationkey", "c_acctbal"), "s": ("supplier", "s_suppkey * 3", "s_nationkey", "s_acctbal"),
+          "p": ("part", "p_partkey * 2", "p_size % 25", "p_retailprice"), "o": ("orders", "o_custkey", "o_orderkey % 25", "o_totalprice")}
+
+
+def _spine_sql(tag: str) -> str:
+    name, number, nation, value = _SPINE[tag]
+    return f"""{tag}_t AS (SELECT CASE WHEN {number} >= 40 THEN {number} END AS key, {nation} AS nation, {value} AS {tag}_value FROM {name})"""
+
+
+def _spine_join(tag: str) -> str:
+    return f"""FULL JOIN {tag}_t ON m.key IS NOT DISTINCT FROM {tag}_t.key AND m.nation IS NOT DISTINCT FROM {tag}_t.nation"""
+
+
+@query(f"""WITH {", ".join(_spine_sql(t) for t in _SPINE)},
+m1 AS (SELECT coalesce(m.key, s_t.key) AS key, coalesce(m.nation, s_t.nation) AS nation, c_value, s_value FROM c_t m {_spine_join("s")}),
+m2 AS (SELECT coalesce(m.key, p_t.key) AS key, coalesce(m.nation, p_t.nation) AS nation, c_value, s_value, p_value FROM m1 m {_spine_join("p")}),
+m3 AS (SELECT coalesce(m.key, o_t.key) AS key, coalesce(m.nation, o_t.nation) AS nation, c_value, s_value, p_value, o_value FROM m2 m {_spine_join("o")})
+SELECT nation, key IS NULL AS no_key, count(*) AS n, count(c_value) AS n_c, count(s_value) AS n_s, count(p_value) AS n_p, count(o_value) AS n_o,
+  min(key) AS first_key, max(key) AS last_key, min(c_value) AS c_low, max(p_value) AS p_high, max(o_value) AS o_high
+FROM m3 GROUP BY ALL""")
+def merge_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sources that repeat keys and lack some, along a spine of their keys; summed up per nation.
+
+    Small numbers are missing, so that each nation has a missing key that several sources repeat;
+    those are heavy here, found by the search and merged apart.
+    """
+    frames = []
+    for tag, (name, number, nation, value) in _SPINE.items():
+        key = F.expr(f"CASE WHEN {number} >= 40 THEN {number} END")
+        frames.append(table(spark, sf_dir, name).select(key.alias("key"), F.expr(nation).cast("int").alias("nation"), F.expr(value).alias(f"{tag}_value")))
+    merged = merge_all(frames, ["key", "nation"], null_safe=True, max_rows=20)
+    return merged.groupBy("nation", F.col("key").isNull().alias("no_key")).agg(
+        F.count("*").alias("n"),
+        *[F.count(f"{t}_value").alias(f"n_{t}") for t in _SPINE],
+        F.min("key").alias("first_key"), F.max("key").alias("last_key"),
+        F.min("c_value").alias("c_low"), F.max("p_value").alias("p_high"), F.max("o_value").alias("o_high"),
+    )

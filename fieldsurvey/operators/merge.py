@@ -1,13 +1,22 @@
 """Full outer merging of several sources on a shared key.
 
-Three exact forms give the same rows:
+Four exact forms give the same rows:
 
 * ``unique=True`` for sources with one row per key: one union and one
   aggregation, hence one shuffle for any number of sources.
-* a chain of full outer joins, when no key is heavy.
-* heavy keys apart from the chain, in joins salted on both sides. A full outer
+* a full outer join of two sources, when no key is heavy.
+* for more sources a spine: the distinct keys of all of them, placed by hash once. Each
+  source is joined to it from the left, which leaves the rows merged so far where
+  they are, so every source is shuffled once whatever their number. A chain of
+  full outer joins would shuffle all rows merged so far again for each source.
+* heavy keys apart from these, in joins salted on both sides. A full outer
   join cannot be split by the engine itself, so one heavy key would end in one
   task.
+
+Heavy keys are searched without a shuffle of all keys. Rows are counted by source in
+buckets of the hash of their key, a summary that tasks make by themselves and that is
+merged by adding up. A bucket has at least the rows of each of its keys, so a key can be heavy
+only in a bucket that is heavy; only the keys of such buckets are counted exactly.
 """
 
 from __future__ import annotations
@@ -31,7 +40,9 @@ from fieldsurvey.skew import (
     search_fraction,
 )
 
-SALT = "_salt"
+SALT, KEY, BUCKET = "_salt", "_key", "_bucket"
+#: Buckets of the search: tried first, at most, and for each heavy key that there is room for.
+FIRST_BUCKETS, MOST_BUCKETS, BUCKETS_PER_KEY = 1 << 20, 1 << 26, 8
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,10 +74,13 @@ def merge_all(
     max_rows: int | None = HEAVY_ROWS,
     searched: Sequence[int] | None = None,
     broadcast_bytes: int | None = None,
+    spine: bool | None = None,
 ) -> DataFrame:
     """Full outer join of all frames; repeated keys multiply as in SQL.
 
-    Name the largest frame last: each join shuffles what is merged so far. With
+    More than two frames are merged along a spine of their keys, for which their keys are read
+    apart from their rows. ``spine=False`` joins them one after the other instead, for frames whose keys
+    are expensive to compute; name the largest frame last then. With
     ``broadcast_bytes`` the others are merged and kept first; if they have no more bytes
     than that, they are sent to all tasks and the rows of the last frame stay where they are.
     ``null_safe`` lets missing keys match each other. ``unique`` states that no
@@ -74,7 +88,7 @@ def merge_all(
     is the size from which a key is heavy; None skips the search. ``searched``
     numbers the frames to search, by default all: leave out those with few rows
     per key, above all if their keys are expensive to compute. If more than one
-    searched frame can repeat keys, all keys are counted: a key of moderate size in each
+    searched frame can repeat keys, all rows are looked at: a key of moderate size in each
     of them may still have a huge product, which a sample would not show.
     """
     on = [on] if isinstance(on, str) else list(on)
@@ -87,20 +101,23 @@ def merge_all(
     if broadcast_bytes is not None and len(dfs) > 1:
         last = len(dfs) - 1
         own = None if searched is None else [i for i in searched if i < last]
-        others = fixed(merge_all(dfs[:-1], on, null_safe, max_rows=max_rows, searched=own))
+        # Others that may be broadcast are few rows, so their keys are not read apart.
+        others = fixed(merge_all(dfs[:-1], on, null_safe, max_rows=max_rows, searched=own, spine=bool(spine)))
         if fits_broadcast(others, broadcast_bytes):
             return _onto_last(others, dfs[-1], on, null_safe).select(*columns)
         searched = None if searched is None else [0] * bool(own) + [1] * (last in searched)
         dfs = [others, dfs[-1]]
     heavy = None if max_rows is None else _heavy_keys(dfs, on, max_rows, searched)
+    spine = len(dfs) > 2 if spine is None else spine and len(dfs) > 1
+    merged = (lambda frames: _along_spine(frames, on, null_safe)) if spine else (lambda frames: reduce(lambda a, b: _outer(a, b, on, null_safe), frames))
     if heavy is None:
-        return reduce(lambda a, b: _outer(a, b, on, null_safe), dfs).select(*columns)
+        return merged(dfs).select(*columns)
     parts = []
     if not null_safe:
         parts += [df.filter(~_complete(on)) for df in dfs]
         dfs = [df.filter(_complete(on)) for df in dfs]
         heavy = heavy.filter(_complete(on))
-    parts.append(reduce(lambda a, b: _outer(a, b, on, null_safe), [rows_not_in(df, heavy, on) for df in dfs]))
+    parts.append(merged([rows_not_in(df, heavy, on) for df in dfs]))
     parts.append(_merge_heavy(dfs, on, heavy, max_rows))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
 
@@ -118,6 +135,22 @@ def _outer(a: DataFrame, b: DataFrame, on: list[str], null_safe: bool) -> DataFr
     return joined.withColumns(keys).drop(*[f"_right_{k}" for k in on])
 
 
+def _along_spine(dfs: Sequence[DataFrame], on: list[str], null_safe: bool) -> DataFrame:
+    """Each frame joined from the left to the distinct keys of all, which are shuffled once."""
+    whole = dfs if null_safe else [df.filter(_complete(on)) for df in dfs]
+    # As a structure a key with missing parts equals itself, and the joins need no other placement than the keys have.
+    key = F.struct(*on) if null_safe or len(on) > 1 else F.col(on[0])
+    keyed = [df.withColumn(KEY, key) for df in whole]
+    merged = reduce(DataFrame.unionAll, [df.select(KEY) for df in keyed]).distinct()
+    for df in keyed:
+        merged = merged.join(df.drop(*on), KEY, "left")
+    parts = F.col(KEY).getField if null_safe or len(on) > 1 else lambda _: F.col(KEY)
+    merged = merged.withColumns({k: parts(k) for k in on}).drop(KEY)
+    # Rows without a whole key match nothing.
+    apart = [] if null_safe else [df.filter(~_complete(on)) for df in dfs]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [merged, *apart])
+
+
 def _onto_last(others: DataFrame, last: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
     """Full outer join in which only the distinct keys of ``last`` are shuffled."""
     small = others.withColumnsRenamed({k: f"_small_{k}" for k in on})
@@ -149,7 +182,7 @@ def _merge_unique(dfs: Sequence[DataFrame], on: list[str], null_safe: bool) -> D
     return merged.filter(F.assert_true("_once", "a source repeats a key").isNull())
 
 
-def _counts(keys: Mapping[int, DataFrame], on: list[str], sources: range) -> DataFrame:
+def _counts(keys: Mapping[int, DataFrame], on: list[str], sources: Sequence[int]) -> DataFrame:
     """Rows per key in each source, as ``_n0``, ``_n1`` and so on."""
     tagged = [df.select(*on, F.lit(i).alias("_source")) for i, df in keys.items()]
     per_source = [F.count_if(F.col("_source") == i).alias(f"_n{i}") for i in sources]
@@ -167,18 +200,43 @@ def _heavy_keys(
     if not wanted:
         return None
     # A product of moderate sizes escapes a sample, so only a single source is sampled.
-    if len(wanted) > 1:
-        heavy = fixed(_counts(keys, on, sources).filter(_multiplicity(sources) > max_rows))
-        return None if heavy.isEmpty() else heavy
+    found = _in_heavy_buckets(keys, on, max_rows) if len(wanted) > 1 else _in_sample(keys, wanted, on, max_rows)
+    if found is None:
+        return None
+    heavy = fixed(_counts(found, on, sources).filter(_multiplicity(sources) > max_rows))
+    return None if heavy.isEmpty() else heavy
+
+
+def _in_sample(keys: Mapping[int, DataFrame], wanted: Sequence[int], on: list[str], max_rows: int) -> dict[int, DataFrame] | None:
+    """Keys of all sources that are frequent in a sample of the one that is searched."""
+    sources = range(len(keys))
     met = _counts({i: looked_at(keys[i], max_rows) for i in wanted}, on, sources)
     scale = 1 / search_fraction(max_rows)
     candidates = met.filter(_multiplicity(sources, scale) > max_rows / 2).select(*on)
     if candidates.isEmpty():
         return None
     candidates = fixed(candidates)
-    counts = _counts({i: rows_in(df, candidates, on) for i, df in keys.items()}, on, sources)
-    heavy = fixed(counts.filter(_multiplicity(sources) > max_rows))
-    return None if heavy.isEmpty() else heavy
+    return {i: rows_in(df, candidates, on) for i, df in keys.items()}
+
+
+def _in_heavy_buckets(keys: Mapping[int, DataFrame], on: list[str], max_rows: int) -> dict[int, DataFrame] | None:
+    """Keys of all sources in the buckets that are heavy; no other key can be.
+
+    More buckets are made if the rows turn out to be too many for those tried first.
+    """
+    # With fewer rows than this in every source no key is heavy.
+    each = max(1.0, max_rows ** (1 / len(keys)))
+    buckets, wanted = 0, FIRST_BUCKETS
+    while buckets < wanted:
+        buckets = wanted
+        placed = {i: df.withColumn(BUCKET, F.pmod(F.xxhash64(*on), F.lit(buckets))) for i, df in keys.items()}
+        counts = fixed(_counts({i: df.select(BUCKET) for i, df in placed.items()}, [BUCKET], [*keys]))
+        heavy = counts.filter(_multiplicity([*keys]) > max_rows).select(BUCKET)
+        if heavy.isEmpty():
+            return None
+        rows = counts.agg(F.sum(reduce(lambda a, b: a + b, [F.col(f"_n{i}") for i in keys]))).first()[0]
+        wanted = min(MOST_BUCKETS, int(BUCKETS_PER_KEY * rows / each))
+    return {i: rows_in(df, heavy, [BUCKET]).drop(BUCKET) for i, df in placed.items()}
 
 
 def _multiplicity(sources: Sequence[int], scale: float = 1.0) -> Column:

@@ -120,3 +120,76 @@ def test_small_others_leave_the_last_frame_in_place(spark, null_safe, limit):
     c = spark.range(300).select(F.when(n % 7 > 0, n % 17).alias("k"), n.alias("c"))
     plain = merge_all([a, b, c], "k", null_safe, max_rows=None)
     assert rows(merge_all([a, b, c], "k", null_safe, max_rows=None, broadcast_bytes=limit)) == rows(plain)
+
+
+def shapes(spark):
+    """Four sources: repeated keys in two parts, missing parts, keys of one source only."""
+    n = F.col("id")
+    k, part = F.when(n % 7 > 0, n % 13), F.when(n % 5 > 1, F.concat(F.lit("p"), n % 3))
+    return [
+        spark.range(rows).select((k + shift).alias("k"), part.alias("part"), n.alias(f"v{rows}")) for rows, shift in ((60, 0), (25, 4), (1, 0), (90, 9))
+    ]
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("on", [["k", "part"], ["k"]])
+@pytest.mark.parametrize("max_rows", [None, 50])
+def test_spine_equals_chain(spark, null_safe, on, max_rows):
+    frames = [f.drop("part") if on == ["k"] else f for f in shapes(spark)]
+    chain = merge_all(frames, on, null_safe, max_rows=None, spine=False)
+    merged = merge_all(frames, on, null_safe, max_rows=max_rows)
+    assert merged.columns == chain.columns and merged.dtypes == chain.dtypes and rows(merged) == rows(chain)
+
+
+def test_spine_of_empty_sources(spark):
+    frames = [f.limit(0) for f in shapes(spark)]
+    assert merge_all(frames, ["k", "part"], max_rows=None).count() == 0
+    assert merge_all([*frames[:3], shapes(spark)[3]], ["k", "part"], True, max_rows=None).count() == 90
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_spine_moves_every_source_once(spark, null_safe, tmp_path):
+    """One exchange for the keys and one for each source; nothing merged is moved or sorted again."""
+    frames = []
+    for i, frame in enumerate(shapes(spark)):
+        frame.write.parquet(f"{tmp_path}/{i}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        text = merge_all(frames, ["k", "part"], null_safe, max_rows=None)._jdf.queryExecution().executedPlan().toString()
+        chain = merge_all(frames, ["k", "part"], null_safe, max_rows=None, spine=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert text.count("Exchange hashpartitioning") == 5 and text.count("SortMergeJoin") == 4
+    assert text.count("Sort [") == 5
+    assert chain.count("Exchange hashpartitioning") == 6
+
+
+@pytest.mark.parametrize("first", [1, 64, 1 << 20])
+def test_search_by_buckets_finds_all_heavy_keys(spark, monkeypatch, first):
+    """Few buckets at first: all are heavy, so more are made; what is found is the same."""
+    monkeypatch.setattr(merge, "FIRST_BUCKETS", first)
+    n = F.col("id")
+    frames = [
+        spark.range(4_000).select(F.when(n < 40 * i, -1).when(n % 10 == 0, F.lit(None)).otherwise(n % 1_500).cast("int").alias("k"), n.alias(f"v{i}"))
+        for i in (1, 2, 3)
+    ]
+    heavy = merge._heavy_keys(frames, ["k"], 1_000)
+    counted = [{r.k: r["count"] for r in f.groupBy("k").count().collect()} for f in frames]
+    product = {k: max(counted[0].get(k, 0), 1) * max(counted[1].get(k, 0), 1) * max(counted[2].get(k, 0), 1) for k in set().union(*counted)}
+    assert {r.k for r in heavy.collect()} == {k for k, n in product.items() if n > 1_000} == {-1, None}
+    assert {(r._n0, r._n1, r._n2) for r in heavy.filter("k = -1").collect()} == {(40, 80, 120)}
+    assert merge._heavy_keys(frames, ["k"], 10**12) is None
+
+
+def test_keys_outside_heavy_buckets_are_not_counted(spark):
+    """Of 150,000 rows only those of the heavy key, and of what shares its bucket, go on to the exact count."""
+    frames = {
+        i: spark.range(50_000).select(F.when(F.col("id") < 2_000, 0).otherwise(F.col("id")).alias("k")) for i in range(3)
+    }
+    met = merge._in_heavy_buckets(frames, ["k"], merge.HEAVY_ROWS)
+    assert all(2_000 <= df.count() < 2_100 for df in met.values())
