@@ -11,9 +11,9 @@ from fieldsurvey.functions.aggregates import coverage, geomean, mean_, proportio
 from fieldsurvey.functions.values import band, recode
 from fieldsurvey.operators.groups import category_counts as count_categories
 from fieldsurvey.operators.groups import group_representative as representative_of
+from fieldsurvey.operators.groups import layer_counts as count_layers
 from fieldsurvey.operators.frames import fill_zero
-from fieldsurvey.operators.merge import full_merge
-from fieldsurvey.operators.ordered import share_of_base, share_of_group
+from fieldsurvey.operators.ordered import ordered_scan, share_of_base, share_of_group, with_share
 from fieldsurvey.operators.reshape import to_long, to_wide
 from fieldsurvey.study import SEVERITY_BOUNDS, SEVERITY_ELSE
 
@@ -82,10 +82,7 @@ SELECT coalesce(a.plot_id, b.plot_id) AS plot_id, coalesce(a.cover, b.cover) AS
   (coalesce(n1, 0) + coalesce(n2, 0)) / sum(n1) OVER (PARTITION BY coalesce(a.plot_id, b.plot_id))::DOUBLE AS share
 FROM one a FULL JOIN two b ON a.plot_id IS NOT DISTINCT FROM b.plot_id AND a.cover IS NOT DISTINCT FROM b.cover""")
 def share_of_first_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = survey(spark, sf_dir)
-    one = count_categories(rows, "plot_id", "lf1", "n1").withColumnsRenamed({"lf1": "cover"})
-    two = count_categories(rows, "plot_id", "lf2", "n2").withColumnsRenamed({"lf2": "cover"})
-    both = full_merge(one, two, ["plot_id", "cover"], null_safe=True, unique=True)
+    both = count_layers(survey(spark, sf_dir), "plot_id", {"n1": "lf1", "n2": "lf2"})
     both = both.withColumn("total", F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)))
     return both.select("plot_id", "cover", share_of_base("total", "n1", ["plot_id"]).alias("share"))
 
@@ -114,3 +111,33 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price")
     )
     return round_all(to_long(sums, ["l_returnflag"], ["quantity", "price"]), 2)
+
+
+@query(f"""WITH {SURVEY_SQL},
+codes AS (SELECT plot_id, unnest([lf1, lf2, overstory1]) AS cover, unnest([1, 2, 3]) AS layer FROM survey)
+SELECT plot_id, cover, nullif(count(*) FILTER (layer = 1), 0) AS first, nullif(count(*) FILTER (layer = 2), 0) AS second,
+  nullif(count(*) FILTER (layer = 3), 0) AS over FROM codes GROUP BY ALL""")
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of three layers side by side, from one scan and one shuffle."""
+    return count_layers(survey(spark, sf_dir), "plot_id", {"first": "lf1", "second": "lf2", "over": "overstory1"})
+
+
+@query("""SELECT user_id % 9 AS site, event_id, cents, sum(cents) OVER w::BIGINT AS total, count(cents) OVER w AS seen, min(cents) OVER w AS low,
+  max(ts) OVER w AS last_ts, lead(cents) OVER (PARTITION BY user_id % 9 ORDER BY ts, event_id) AS next_cents
+FROM (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) END AS cents FROM events)
+WINDOW w AS (PARTITION BY user_id % 9 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals, counts and bounds and the next value of long series, which are cut into slices."""
+    cents = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("bigint"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("site"), "event_id", "ts", cents.alias("cents"))
+    running = {"total": ("sum", "cents"), "seen": ("count", "cents"), "low": ("min", "cents"), "last_ts": ("max", "ts")}
+    return ordered_scan(rows, ["site"], ["ts", "event_id"], running, ["cents"], max_rows=500).drop("ts")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {rounded_sql("l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_returnflag)", 9)} AS share
+FROM lineitem""")
+def row_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each raw row in a large group; rows stay where they are."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    shares = with_share(rows, "l_extendedprice", ["l_returnflag"])
+    return round_all(shares.select("l_orderkey", "l_linenumber", "share"), 9)

@@ -7,11 +7,10 @@ made of ``events``; ``replicates`` is made of ``lineitem``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.operators.ordered import SLICE, in_order, slice_heavy_groups, slice_keys
-from fieldsurvey.skew import same_key
+from fieldsurvey.operators.ordered import SLICE, slice_heavy_groups, with_running
 
 MICROS = 1_000_000
 
@@ -44,9 +43,7 @@ def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> Dat
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
     rows = slice_heavy_groups(rows, by, order)
-    running = in_order(slice_keys(rows, by), order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"start": F.min("ts").over(running), "total": F.sum("cents").over(running)})
-    rows = _carried(rows, by)
+    rows = with_running(rows, by, order, {"start": ("min", "ts"), "total": ("sum", "cents")})
     elapsed = F.timestamp_diff("MICROSECOND", F.col("start"), F.col("ts"))
     return rows.select(
         "location_id",
@@ -58,31 +55,6 @@ def readings(spark: SparkSession, sf_dir: str, key: Column | None = None) -> Dat
     )
 
 
-def _carried(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Start and running total carried over from earlier slices of a location."""
-    earlier = in_order(by, [SLICE]).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*by, SLICE)
-        .agg(F.sum("cents").alias("_sum"), F.min("ts").alias("_first"))
-        .filter(F.col(SLICE) > 0)
-        .withColumns({"_before": F.sum("_sum").over(earlier), "_start": F.min("_first").over(earlier)})
-        .select(*by, SLICE, "_before", "_start")
-    )
-    keys = [*by, SLICE]
-    named = carry.withColumnsRenamed({k: f"_carry_{k}" for k in keys})
-    # A location may be missing, and is one location then.
-    return (
-        rows.join(named, same_key(rows, named, keys, "_carry_"), "left")
-        .withColumns(
-            {
-                "total": F.col("total") + F.coalesce("_before", F.lit(0)),
-                "start": F.least("start", "_start"),
-            }
-        )
-        .drop("_before", "_start", *[f"_carry_{k}" for k in keys])
-    )
-
-
 def readings_sql(key: str = "user_id") -> str:
     return f"""
 keyed AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,19 @@ def category_counts(df: DataFrame, by: str | Sequence[str], cat: str, name: str
     return df.groupBy(*as_keys(by), cat).agg(F.count("*").alias(name))
 
 
+def layer_counts(df: DataFrame, by: str | Sequence[str], layers: Mapping[str, str], cat: str = "cover") -> DataFrame:
+    """Rows per group and category of several layers side by side, from one scan.
+
+    ``layers`` maps the new count to the column of its layer. The layers of a row are stacked and counted by where they
+    came from, which gives the rows of a full outer merge of one count for each layer: NULL where a layer lacks the
+    category, and missing as a category of its own.
+    """
+    keys = as_keys(by)
+    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), col(c).alias(cat)) for name, c in layers.items()])).alias("_code")
+    counts = [F.nullif(F.count_if(F.col("layer") == name), F.lit(0)).alias(name) for name in layers]
+    return df.select(*keys, stacked).select(*keys, "_code.*").groupBy(*keys, cat).agg(*counts)
+
+
 def group_representative(df: DataFrame, by: str | Sequence[str], c: str) -> DataFrame:
     """The one value of ``c`` per group; an error where there are several."""
     keys = as_keys(by)

@@ -1,6 +1,7 @@
 """Neighbouring rows, with and without heavy groups."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldsurvey.checks import views
@@ -10,10 +11,12 @@ from fieldsurvey.operators.ordered import (
     finite_diff,
     neighbour_geomean,
     next_value,
+    ordered_scan,
     share_of_base,
     share_of_group,
     slice_heavy_groups,
     with_next,
+    with_share,
 )
 from fieldsurvey.plans.infiltration import infiltration_features
 
@@ -97,3 +100,48 @@ def test_shares(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 3, 2), ("b", 0, None)], "k string, n int, m int")
     found = df.select("k", "n", share_of_group("n", ["k"]).alias("s"), share_of_base("n", "m", ["k"]).alias("b"))
     assert sorted(map(tuple, found.collect())) == [("a", 1, 0.25, 0.5), ("a", 3, 0.75, 1.5), ("b", 0, None, None)]
+
+
+RUNNING = {"total": ("sum", "v"), "seen": ("count", "v"), "low": ("min", "v"), "high": ("max", "t")}
+
+
+def test_scan_does_not_depend_on_slices(skewed):
+    order = ["t", "tie"]
+    names = ["k", "tie", *RUNNING, "next_v"]
+    window = Window.partitionBy("k").orderBy(*order)
+    up_to = window.rowsBetween(Window.unboundedPreceding, 0)
+    plain = skewed.withColumns(
+        {"total": F.sum("v").over(up_to), "seen": F.count("v").over(up_to), "low": F.min("v").over(up_to), "high": F.max("t").over(up_to),
+         "next_v": F.lead("v").over(window)}
+    )
+    for max_rows in (None, 70, 120):
+        found = ordered_scan(skewed, ["k"], order, RUNNING, ["v"], max_rows=max_rows)
+        assert SLICE not in found.columns and rows(found, *names) == rows(plain, *names)
+    # A frame that is cut already stays so.
+    cut = slice_heavy_groups(skewed, ["k"], order, max_rows=70)
+    assert SLICE in ordered_scan(cut, ["k"], order, RUNNING).columns
+
+
+def test_scan_over_missing_cells_and_no_rows(spark):
+    df = spark.range(60).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"), F.when(F.col("id") > 25, F.col("id")).alias("v"))
+    found = ordered_scan(df, ["k"], ["t"], RUNNING | {"high": ("max", "v")}, max_rows=10)
+    for r in found.collect():
+        seen = [v for v in range(26, r.t + 1)]
+        assert (r.total, r.seen, r.low, r.high) == (sum(seen) if seen else None, len(seen), min(seen, default=None), max(seen, default=None))
+    assert ordered_scan(df.limit(0), ["k"], ["t"], RUNNING, ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "max_rows": None}, {"broadcast_rows": 2, "max_rows": 150}, {"broadcast_rows": 0, "max_rows": 150}])
+def test_shares_of_raw_rows(skewed, options):
+    plain = skewed.select("k", "tie", share_of_group("v", ["k"]).alias("s"), share_of_base("t", "v", ["k"]).alias("b"))
+    found = with_share(with_share(skewed, "v", ["k"], name="s", **options), "t", ["k"], "v", "b", **options)
+    assert rows(found, "k", "tie", "s", "b") == rows(plain, "k", "tie", "s", "b")
+
+
+def test_shares_move_no_rows_where_totals_are_few(skewed, spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = with_share(skewed, "v", ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "Window" not in text

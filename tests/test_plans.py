@@ -29,7 +29,7 @@ def exchanges(text):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_workers_and_no_cross_products(plan, name):
     text = plan(name)
-    for word in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for word in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInArrow"):
         assert word not in text
 
 
@@ -60,6 +60,12 @@ def test_unique_merge_adds_no_shuffle(plan):
     assert exchanges(text) == 4 and "Join" not in text
 
 
+@pytest.mark.parametrize("name", ["share_of_first_layer", "layer_counts"])
+def test_layers_are_counted_in_one_scan(plan, name):
+    text = plan(name)
+    assert text.count("FileScan") == 1 and "Join" not in text
+
+
 def test_lookup_broadcasts_the_small_table(plan):
     text = plan("quality_lookup")
     assert "BroadcastHashJoin" in text and exchanges(text) == 0
