@@ -35,6 +35,8 @@ from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
 CELLS, DIMS = 1 << 14, 48
 #: Neighbours on either side.
 REACH = 2
+#: Text looked at in one go; the work space of a task is some dozen times that.
+PART_BYTES = 1 << 20
 #: Labelled texts used for fitting, at most (a random part by hash, whatever there is).
 MAX_TRAIN = 20_000
 HIDDEN = 24
@@ -66,7 +68,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, counts = np.zeros(CELLS * DIMS), np.zeros(CELLS)
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, PART_BYTES):
                 tokens = Tokens(part.column(text), token_classes(), lower=False)
                 cell, plus, minus = (p[tokens.code] for p in _places(hash_values(tokens.values)))
                 counts += np.bincount(cell, minlength=CELLS)
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.n
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 x = pooled(part.column(text), vectors, weights).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([r.tobytes() for r in x])], ["y", "x"])
 
@@ -199,7 +201,7 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, weights: np.nd
         parts, v, w = shared.value
         model = Network(**parts)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 yield replaced(part, {out: pa.array(model.scores(pooled(part.column(text), v, w)))}, drop)
 
     return docs.mapInArrow(task, with_fields(docs, [T.StructField(out, T.DoubleType())], drop))
