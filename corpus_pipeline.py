@@ -19,16 +19,21 @@ from fieldsurvey.llm import bpe, jaccard, leaks, quality, secrets
 from fieldsurvey.llm.blocks import stored
 from fieldsurvey.llm.queries import RANKS, digests, fold, table
 
-#: Rows of a batch between the engine and Python workers: texts can be long, and a worker and
-#: the engine hold some batches each. A session that sets a number keeps its own.
-BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Batches between the engine and Python workers, by rows and by bytes: texts can be long, and a worker and the
+#: engine hold some batches each. Each setting with the default that it replaces; a session that sets a
+#: number keeps its own. They stay set, since stages run after their function has returned.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "1048576b"),
+}
 #: A document stays with at least this probability of good quality.
 KEEP = 0.5
 
 
 def _small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(BATCH_CONF) == "10000":
-        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    for name, (usual, small) in BATCHES.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, small)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
