@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm.arrow import map_arrow, slices
+from fieldsurvey.llm.arrow import give_back, map_arrow, slices
 from fieldsurvey.scratch import new_table_path
 
 #: Text of a block, and text for each range.
@@ -160,6 +160,7 @@ def totals(blocks: DataFrame, items: Callable[[pa.RecordBatch], Items], ranges:
                     )
 
     def add(group: pa.Table) -> pa.Table:
+        give_back()
         kind, number = group.column("kind")[0].as_py(), group.column("range")[0].as_py()
         blocks_, roles = group.column("block").to_pylist(), np.array(group.column("role").to_pylist())
         hashes = [unpacked_sorted(h.as_py()) for h in group.column("hashes")]
@@ -185,7 +186,7 @@ def totals(blocks: DataFrame, items: Callable[[pa.RecordBatch], Items], ranges:
             "mass0": pa.array([0] * n + [int(sums[0].sum())]), "mass1": pa.array([0] * n + [int(sums[1].sum())]),
         })
 
-    return blocks.select("block", "role", "rows").mapInArrow(send, SENT).groupBy("kind", "range").applyInArrow(add, ANSWER)
+    return map_arrow(blocks.select("block", "role", "rows"), send, SENT).groupBy("kind", "range").applyInArrow(add, ANSWER)
 
 
 def with_totals(blocks: DataFrame, answers: DataFrame, task: Callable[[pa.RecordBatch, dict[int, np.ndarray]], pa.Table], schema) -> DataFrame:
@@ -196,6 +197,7 @@ def with_totals(blocks: DataFrame, answers: DataFrame, task: Callable[[pa.Record
         for kind, number, data in zip(*(right.column(c).to_pylist() for c in ("kind", "range", "totals"))):
             found.setdefault(kind, []).append((number, unpacked_array(data)))
         ordered = {k: [a for _, a in sorted(v, key=lambda x: x[0])] for k, v in found.items()}
+        give_back()
         return task(unpacked_rows(left.column("rows")[0].as_py()), ordered)
 
     kept = answers.filter("block >= 0").select("block", "kind", "range", "totals")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldsurvey.llm.arrow import Tokens, hash_values, mixed, replaced, slices, with_fields
+from fieldsurvey.llm.arrow import Tokens, hash_values, map_arrow, mixed, replaced, slices, with_fields
 from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
 
 #: Cells and length of the vectors: the table has CELLS x DIMS numbers, 3 MB.
@@ -82,7 +82,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
                             vectors -= np.bincount(base + minus[there], minlength=CELLS * DIMS)
         yield from emitted({"vectors": vectors, "counts": counts})
 
-    total = summed(docs.select(text).mapInArrow(task, SCHEMA))
+    total = summed(map_arrow(docs.select(text), task, SCHEMA))
     vectors = whole(total.get("vectors"), CELLS * DIMS).reshape(CELLS, DIMS)
     counts = whole(total.get("counts"), CELLS)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.n
                 x = pooled(part.column(text), vectors, weights).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([r.tobytes() for r in x])], ["y", "x"])
 
-    found = chosen.mapInArrow(task, "y int, x binary").collect()
+    found = map_arrow(chosen, task, "y int, x binary").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float64).reshape(len(found), FEATURES)
     # The order in which rows arrive must not matter.
     order = np.lexsort(x.T[::-1]) if len(found) else np.zeros(0, int)
@@ -204,7 +204,7 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, weights: np.nd
             for part in slices(batch, text, PART_BYTES):
                 yield replaced(part, {out: pa.array(model.scores(pooled(part.column(text), v, w)))}, drop)
 
-    return docs.mapInArrow(task, with_fields(docs, [T.StructField(out, T.DoubleType())], drop))
+    return map_arrow(docs, task, with_fields(docs, [T.StructField(out, T.DoubleType())], drop))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", out: str = "score", keep_text: bool = False) -> DataFrame:
