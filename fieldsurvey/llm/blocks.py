@@ -90,8 +90,9 @@ def unpacked_rows(data: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
-def pack(df: DataFrame, text: str, role: str, level: int | None = None) -> DataFrame:
-    """Rows of ``df`` in blocks of one ``role`` (0, 1 or 2) each; not written yet."""
+def pack(df: DataFrame, text: str, role: str, level: int | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``df`` in blocks of about ``size`` bytes and one ``role`` (0, 1 or 2) each; not written yet."""
+    limit = size
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_id, serial = TaskContext.get().partitionId(), 0
@@ -110,11 +111,11 @@ def pack(df: DataFrame, text: str, role: str, level: int | None = None) -> DataF
         for batch in batches:
             roles = batch.column(role).to_numpy(zero_copy_only=False)
             for number in np.unique(roles).tolist():
-                for part in slices(batch.filter(pa.array(roles == number)), text, BLOCK_BYTES // 2):
+                for part in slices(batch.filter(pa.array(roles == number)), text, limit // 2):
                     rows, size = held.get(number, ([], 0))
                     # A copy, so that the whole batch need not stay in memory.
                     held[number] = ([*rows, part.take(pa.array(np.arange(part.num_rows)))], size + part.column(text).nbytes)
-                    if held[number][1] >= BLOCK_BYTES:
+                    if held[number][1] >= limit:
                         yield block(number)
         for number in list(held):
             yield block(number)

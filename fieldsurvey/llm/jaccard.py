@@ -43,6 +43,8 @@ from fieldsurvey.llm.graph import components
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Text of a block: its shingles take some dozen times that in a task.
+SET_BYTES = 3 << 19
 #: Sizes of one block of a list differ by less than this factor.
 SIZE_STEP = 4 / 3
 
@@ -241,7 +243,7 @@ def links(index: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``df``; ``key`` has any type with an order."""
-    blocks = stored(pack(df.select(key, text).withColumn("__role", F.lit(0)), text, "__role"), "jaccard-blocks")
+    blocks = stored(pack(df.select(key, text).withColumn("__role", F.lit(0)), text, "__role", size=SET_BYTES), "jaccard-blocks")
     sets = stored(_sets_of(blocks, text, key, df.schema[key].dataType.simpleString(), words, percent), "jaccard-found")
     deleted(df.sparkSession, blocks)
     index = _indexed(sets, percent)
