@@ -4,7 +4,8 @@ The words of a block of documents (a few hundred thousand distinct words) are on
 corpus. An inverted index leads from the rank of a token pair to the positions of
 that pair in all words. Merges are applied in rank order over the whole corpus, and
 after each one only the pairs left and right of the merged positions are looked up
-again. Every distinct word is encoded once a block, however often it occurs, and no
+again; where a merge makes one of a lower rank possible, the rest of its word waits for that.
+Every distinct word is encoded once a block, however often it occurs, and no
 row is shuffled: the vocabulary is the only thing that all tasks share.
 
 Defined results: NULL and empty text give no ids and decode to no bytes; repeated
@@ -65,6 +66,9 @@ class MergeTable:
         found.sort()
         self.pairs = np.array([p for p, _ in found] or [-1], np.int64)
         self.into = np.array([i for _, i in found] or [-1], np.int64)
+        # Tokens that, once made, may allow a merge of a lower rank than their own.
+        left, right = np.divmod(self.pairs, self.size)
+        self.opens = {*left[left > self.into].tolist(), *right[right > self.into].tolist()}
         self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int64)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -131,6 +135,12 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
             begins = np.append(True, ~overlap)
             run = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
             at = at[run % 2 == 0]
+        waiting = np.zeros(0, np.int64)
+        if r in table.opens:
+            # In a word that gets a pair of a lower rank the later positions wait until that was merged.
+            on = allowed(at, r, token, after, before, word, table, n)
+            waiting = np.unique(word[at[~on]])
+            at = at[on]
         gone = after[at]
         beyond = after[gone]
         token[at] = r
@@ -143,13 +153,9 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
         touched = np.unique(touched) if len(touched) > 1 else touched
         rank[touched] = table.lookup(token[touched], token[after[touched]])
         fresh = touched[rank[touched] >= 0]
+        if len(waiting):
+            fresh = np.unique(np.concatenate([fresh, at_rank(rank, alive, word, r, waiting)]))
         if len(fresh):
-            lower = rank[fresh] < r
-            if lower.any():
-                # A merge made an earlier one possible: the same words finish that one first.
-                hurry = fresh[lower]
-                again = at_rank(rank, alive, word, r, np.unique(word[hurry]), n)
-                fresh = np.unique(np.concatenate([fresh, again]))
             enter(fresh)
     counts = np.where(lengths > 0, 1, 0)
     counts[todo] = np.bincount(word[alive[:n]], minlength=len(todo))
@@ -164,7 +170,25 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
     return out, counts
 
 
-def at_rank(rank: np.ndarray, alive: np.ndarray, word: np.ndarray, r: int, words: np.ndarray, n: int) -> np.ndarray:
+def allowed(
+    at: np.ndarray, r: int, token: np.ndarray, after: np.ndarray, before: np.ndarray, word: np.ndarray, table: MergeTable, n: int
+) -> np.ndarray:
+    """Which merges at positions ``at`` come before their word has a pair of a lower rank than ``r``."""
+    left, beyond = before[at], after[after[at]]
+    # Left of a position the merge before it may be done already, right of it none is.
+    beside = token[left]
+    beside[1:][after[at[:-1]] == left[1:]] = r
+    new = np.stack([
+        np.where(left >= 0, table.lookup(beside, np.full(len(at), r)), -1),
+        np.where(beyond < n, table.lookup(np.full(len(at), r), token[beyond]), -1),
+    ])
+    lower = ((new >= 0) & (new < r)).any(0)
+    earlier = np.cumsum(lower) - lower
+    first = np.append(True, word[at[1:]] != word[at[:-1]])
+    return earlier == np.maximum.accumulate(np.where(first, earlier, 0))
+
+
+def at_rank(rank: np.ndarray, alive: np.ndarray, word: np.ndarray, r: int, words: np.ndarray) -> np.ndarray:
     """Positions of ``words`` whose pair has rank ``r``."""
     lo, hi = np.searchsorted(word, words), np.searchsorted(word, words, "right")
     cells = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if len(words) else np.zeros(0, np.int64)

@@ -1,6 +1,7 @@
 """Byte-level BPE against the library that the ranks were made for."""
 
 import base64
+import hashlib
 import random
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import tiktoken
 from helpers import ODD_TEXTS, odd_docs, same_columns
 
 from fieldsurvey.llm import bpe
-from fieldsurvey.llm.queries import RANKS
+from fieldsurvey.llm.queries import QUERIES, RANKS
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,33 @@ def test_merge_that_makes_an_earlier_one_possible():
     assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_vocabularies_in_any_order(seed):
+    """Ranks that no training would give: a merge often makes one of a lower rank possible, also within a run."""
+    r = random.Random(seed)
+    letters = "ab" if seed % 2 else "abcd"
+    tokens = list({"".join(r.choice(letters) for _ in range(r.randint(2, 5))).encode() for _ in range(60)})
+    tokens += [bytes([b]) for b in range(256)]
+    r.shuffle(tokens)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(500)]
+    library = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    ids, counts = bpe.replay([w.encode() for w in words], bpe.MergeTable(tokens))
+    ends = counts.cumsum()
+    found = [ids[e - c : e].tolist() for e, c in zip(ends, counts)]
+    assert found == [library.encode_ordinary(w) for w in words]
+
+
+def test_query_encodes_the_whole_table_as_the_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op1_byte_bpe"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_odd_rows_and_round_trip(spark, library):
     df = odd_docs(spark)
     coded = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
