@@ -3,19 +3,20 @@
 A key is the host written backwards by labels, each with a closing dot, then the path:
 ``www.example.com`` and ``/en/1`` give ``com.example.www./en/1``. A rule covers the
 interval of keys that begin with its own. A rule fits subdomains too, whose keys have
-more labels before the path; so a URL probes once for every level of its host:
+more labels before the path; so a URL probes once for every level of its host that a rule has:
 ``com./en/1``, ``com.example./en/1``, ``com.example.www./en/1``. Rules and probes are
 range-partitioned and sorted together, and one sweep over each partition keeps a stack
 of the rules whose intervals are open, outer ones below; the top is the longest rule of
 that probe. Probes of a hot host differ in further sort columns and are dealt over many
 partitions. Rules still open where a partition begins are prefixes of its first key:
-they are found by one small join and put on its stack, at most one for each character
-of that key.
+they are found by one small join and put on its stack, at most one for each length that
+a rule's key has. Keys are cut to the length of the longest rule's key, which changes no answer, so what a
+long URL costs depends on the labels and lengths of the rules and grows with its own length only once.
 
 Defined results: a NULL URL or one without ``://`` has empty host and path and no rule;
 an empty host or path is fitted by no rule that has a host or path; repeated URLs are
-judged alike; repeated rules count once, and of equal rules with both verdicts blocking
-wins; of rules equally long the one with the longer host wins; a rule with a NULL is an
+judged alike; a URL of any length, with any number of labels, is judged whole; repeated
+rules count once, and of equal rules with both verdicts blocking wins; of rules equally long the one with the longer host wins; a rule with a NULL is an
 error; without rules all get the default; other columns pass through, those named like
 an output are replaced.
 """
@@ -48,12 +49,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _levels(host: Column) -> Column:
-    """Keys of the host and of all hosts above it, outermost first."""
-    labels = F.reverse(F.split(host, r"\.", -1))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("."))
-    )
+def _labels(host: Column) -> Column:
+    """Labels of the host, outermost first."""
+    return F.reverse(F.split(host, r"\.", -1))
+
+
+def _written(labels: Column) -> Column:
+    return F.concat(F.array_join(labels, "."), F.lit("."))
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -62,8 +64,8 @@ def rule_table(rules: DataFrame) -> DataFrame:
     rows = rules.select(*[e.alias(c) for c, e in named.items()]).withColumn("host", lower_ascii(F.col("host")))
     once = rows.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     return once.select(
-        F.concat(F.element_at(_levels(F.col("host")), -1), "path").alias("key"),
-        F.concat("host", "path").alias("rule"), "verdict", F.char_length("host").alias("host_length"),
+        F.concat(_written(_labels(F.col("host"))), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict",
+        F.char_length("host").alias("host_length"), F.size(_labels(F.col("host"))).alias("labels"),
     )
 
 
@@ -74,19 +76,28 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLO
     """
     spark = df.sparkSession
     host, path = host_and_path(F.col(url))
-    own = [c for c in df.columns if c not in OUTPUTS]
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in OUTPUTS]
     rows = df.select(
         F.struct(*own, host.alias("host"), path.alias("path")).alias("own"), F.monotonically_increasing_id().alias("nth")
     )
-    probes = rows.select(
-        "own", "nth", F.posexplode(F.reverse(_levels(F.col("own.host")))).alias("above", "level"),
+    table = rule_table(rules)
+    # Levels that have rules and lengths of the rules' keys: as many as the most labels and the longest key at most.
+    levels, lengths = table.agg(
+        F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set(F.char_length("key")))
+    ).first()
+    longest = lengths[-1] if lengths else 1
+    # The row itself travels once, with a probe that no rule fits if no level of it has rules.
+    used = rows.withColumn("labels", F.slice(_labels(F.col("own.host")), 1, max(levels or [1])))
+    at = F.filter(F.array(*map(F.lit, levels or [0])), lambda n: (n > 0) & (n <= F.size("labels")))
+    probes = used.select(
+        "own", "nth", "labels", F.posexplode(F.when(F.size(at) > 0, at).otherwise(F.array(F.lit(0)))).alias("above", "level"),
     ).select(
-        F.concat("level", "own.path").alias("key"), F.lit(1).alias("kind"), "nth",
-        # The row itself travels once, with its innermost probe.
-        F.when(F.col("above") == 0, F.col("own")).alias("own"),
+        F.when(F.col("level") > 0, F.substring(
+            F.concat(_written(F.slice("labels", F.lit(1), F.col("level"))), F.substring("own.path", 1, longest)), 1, longest
+        )).otherwise("").alias("key"),
+        F.lit(1).alias("kind"), "nth", F.when(F.col("above") == 0, F.col("own")).alias("own"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("rule", "string"), ("verdict", "string"), ("host_length", "int"))],
     )
-    table = rule_table(rules)
     opened = table.select(
         "key", F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("nth"), F.lit(None).cast(probes.schema["own"].dataType).alias("own"),
         "rule", "verdict", "host_length",
@@ -99,7 +110,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLO
     )
     # All steps below must see the same partitions.
     ordered = fixed(ordered)
-    found = _swept(ordered, _open_at_start(ordered, table))
+    found = _swept(ordered, _open_at_start(ordered, table, lengths))
     best = found.groupBy("nth").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule"), "host_length", "verdict", "rule"))).alias("best"),
         F.max_by("own", F.col("own").isNotNull()).alias("own"),
@@ -107,15 +118,14 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLO
     return best.select("own.*", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _open_at_start(ordered: DataFrame, table: DataFrame) -> dict[int, list[tuple]]:
+def _open_at_start(ordered: DataFrame, table: DataFrame, lengths: list[int]) -> dict[int, list[tuple]]:
     """Rules open at the first key of each partition, outermost first.
 
-    One row for each partition and prefix of its first key, whatever the number of rules.
+    One row for each partition and length of a rule's key, whatever the number of rules.
     """
     first = ordered.groupBy("part").agg(F.min("key").alias("first"))
-    prefixes = first.select("part", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length("first"), F.lit(1))), lambda n: F.substring("first", F.lit(1), n)
-    )).alias("key")).distinct()
+    fitting = F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.char_length("first"))
+    prefixes = first.select("part", F.explode(F.transform(fitting, lambda n: F.substring("first", F.lit(1), n))).alias("key"))
     rows = prefixes.join(table, "key").collect()
     stacks: dict[int, list[tuple]] = {}
     for r in sorted(rows, key=lambda r: len(r.key)):

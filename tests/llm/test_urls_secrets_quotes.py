@@ -63,6 +63,17 @@ def test_rules_on_odd_tables(spark):
         url_rules.judge(df, spark.createDataFrame([("b", None, "allow")], "host string, path string, verdict string")).collect()
 
 
+def test_rules_on_very_long_urls(spark):
+    deep, wide = "a." * 100_000 + "b.c", "/x" * 500_000
+    urls = [f"http://{deep}/x/y", f"http://b.c{wide}", f"http://{deep}{wide}", "http://c/", f"http://d/{wide}", None]
+    rules = [("b.c", "/x", "block"), ("a.b.c", "/x/x/x", "allow"), ("c", "", "block"), ("a.a.b.c", "/x/y/z", "allow")]
+    df = spark.createDataFrame([(n, u, n) for n, u in enumerate(urls * 5)], "page_id int, url string, `x.y` int")
+    out = url_rules.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(out) == 30 and all(r["x.y"] == r.page_id for r in out)
+    for r in out:
+        assert (r.host, r.path, r.rule, r.verdict) == brute_rule(urls[r.page_id % 6], rules)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
