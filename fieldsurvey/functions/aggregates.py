@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from fieldsurvey.functions.values import col, count_ratio, finite
 
-# Below this share of the weighted spread around the mean the points lie in one place
-# as far as the fit can tell (a single point beside zeros, for example).
-COLLINEAR = 1e-10
-
 
 def mean_(c: Column | str) -> Column:
     return F.avg(col(c))
@@ -51,14 +47,16 @@ def fit_two_term(x: Column | str, y: Column | str) -> tuple[Column, Column]:
 
     It is the line ``y/x = c1 + c2*x`` under weights ``x*x``. Its weighted moments are
     put together from moments about the mean of ``x``, which the engine merges
-    without loss, so that a late start of a series costs no digits.
+    without loss, so that a late start of a series costs no digits. Zeros in ``x`` have
+    no weight and are left out of them. There is a fit where the rest of ``x`` varies,
+    however little: no threshold decides that.
     """
     x, y = col(x), col(y)
-    complete = x.isNotNull() & y.isNotNull()
+    complete = x.isNotNull() & y.isNotNull() & (x != 0)
     x = F.when(complete, x)
     n, mean, m2 = F.count(x).cast("double"), F.avg(x), F.regr_sxx(x, x)
-    # Third and fourth moments about the mean; without spread there is no fit.
-    spread = F.when(m2 > 0, m2)
+    # Third and fourth moments about the mean; the bounds tell whether x varies, its spread may be rounding only.
+    spread = F.when((F.min(x) < F.max(x)) & (m2 > 0), m2)
     m3 = F.skewness(x) * spread * F.sqrt(spread / n)
     m4 = (F.kurtosis(x) + 3) * spread * spread / n
     weight = mean * mean * n + m2
@@ -67,7 +65,7 @@ def fit_two_term(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     product = F.when(complete, x * y)
     total = F.sum(product)
     bottom = second - first * first / weight
-    bottom = F.when(bottom > F.lit(COLLINEAR) * second, bottom)
+    bottom = F.when(bottom > 0, bottom)
     c2 = (F.regr_sxy(product, x) - first * total / weight) / bottom
     return finite(total / weight - c2 * (mean + first / weight)), finite(c2)
 

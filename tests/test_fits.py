@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,39 @@ def test_exact_recovery_of_a_late_series(spark, start):
     assert fit["c2_ci"] == pytest.approx(0.01, rel=1e-8)
 
 
+def exact_two_term(points):
+    """Least squares in whole fractions."""
+    rows = [(Fraction(x), Fraction(y)) for x, y in points]
+    s2, s3, s4 = (sum(x**n for x, _ in rows) for n in (2, 3, 4))
+    xy, xxy = sum(x * y for x, y in rows), sum(x * x * y for x, y in rows)
+    bottom = s2 * s4 - s3 * s3
+    return float((s4 * xy - s3 * xxy) / bottom), float((s2 * xxy - s3 * xy) / bottom)
+
+
+@pytest.mark.parametrize("start, digits", [(1, 1e-8), (1e4, 1e-8), (1e6, 1e-7), (1e9, 1e-3)])
+@pytest.mark.parametrize("zeros", [0, 500])
+def test_zeros_and_late_series_against_whole_fractions(spark, start, digits, zeros):
+    r = random.Random(1)
+    points = [(math.sqrt(start + s), 0.1 * math.sqrt(start + s) + 0.01 * (start + s)) for s in range(61)]
+    points += [(0.0, r.random()) for _ in range(zeros)]
+    c1, c2 = fit_two_term("x", "y")
+    row = spark.createDataFrame(points, "x double, y double").agg(c1.alias("a"), c2.alias("b")).first()
+    a, b = exact_two_term(points)
+    assert row.b == pytest.approx(b, rel=min(digits, 1e-6)) and row.a == pytest.approx(a, rel=digits)
+
+
+def test_a_fit_exists_where_x_varies(spark):
+    points = [("close", 5.0, 1.0), ("close", 5.0 + 1e-7, 1.0 + 3e-7), ("zeros", 5.0 + 1e-7, 1.0 + 3e-7)]
+    points += [("zeros", 0.0, 2.0)] * 1000 + [("zeros", 5.0, 1.0)] + [("one", 0.0, 3.0), ("one", 0.1, 1.0)]
+    points += [("same", 0.1, float(n)) for n in range(7)] + [("only zeros", 0.0, 1.0)]
+    c1, c2 = fit_two_term("x", "y")
+    rows = spark.createDataFrame(points, "k string, x double, y double").groupBy("k").agg(c1.alias("a"), c2.alias("b")).collect()
+    found = {r.k: (r.a, r.b) for r in rows}
+    expected = exact_two_term([p[1:] for p in points if p[0] == "close"])
+    assert found["close"] == pytest.approx(expected, rel=1e-5) and found["zeros"] == pytest.approx(expected, rel=1e-5)
+    assert found["one"] == found["same"] == found["only zeros"] == (None, None)
+
+
 def test_row_order_is_irrelevant(spark):
     rows = curve("a") + curve("b", c1=0.2)
     shuffled = rows[:]
