@@ -11,7 +11,8 @@ row is shuffled: the vocabulary is the only thing that all tasks share.
 Defined results: NULL and empty text give no ids and decode to no bytes; repeated
 rows are encoded alike; other columns pass through, one that has the name of an
 output column is replaced; ids outside the vocabulary are an error when decoding;
-a NULL list of ids decodes to no bytes, NULL ids in a list are skipped.
+a NULL list of ids decodes to no bytes, NULL ids in a list are skipped; a very long text
+is encoded whole, its words numbered a million at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fieldsurvey.llm.arrow import replaced, with_fields
+from fieldsurvey.llm.arrow import map_arrow, replaced, with_fields
 
 # A vocabulary is sent to every executor; this bounds it.
 MAX_RANK_FILE = 64 << 20
@@ -36,6 +37,8 @@ BLOCK_WORDS = 100_000
 BLOCK_PIECES = 1_000_000
 # Words whose ids a task remembers between blocks.
 KEPT_WORDS = 100_000
+# Rows that are decoded at once, since a list of ids can be long.
+DECODED_ROWS = 1_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -240,15 +243,19 @@ class Encoder:
         return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(pa.list_(pa.int32()))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True
+) -> DataFrame:
     """``df`` with the token ids of its whole texts as ``ids`` (array of int).
 
-    Each match of ``pattern`` is encoded by itself, without special tokens.
+    Each match of ``pattern`` is encoded by itself, without special tokens. With ``decoded`` the same
+    task also decodes the ids (see :func:`decode`), so that it needs no second Python worker.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, pattern)
+        tokens = pa.array(vocabulary.value, pa.large_binary()) if decoded else None
         rows: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
         pieces = 0
@@ -256,8 +263,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         def block() -> Iterator[pa.RecordBatch]:
             found, begin = encoder.finish(texts), 0
             for part in rows:
-                yield replaced(part, {ids: found.slice(begin, part.num_rows)})
-                begin += part.num_rows
+                for low in range(0, part.num_rows, DECODED_ROWS) if decoded else (0,):
+                    piece = part.slice(low, DECODED_ROWS) if decoded else part
+                    own = found.slice(begin, piece.num_rows)
+                    begin += piece.num_rows
+                    out = {ids: own, decoded: decoded_bytes(own, tokens)} if decoded else {ids: own}
+                    yield replaced(piece, out, dropped)
             if len(encoder.words) > KEPT_WORDS:
                 encoder.forget()
             rows.clear()
@@ -277,7 +288,26 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         if rows:
             yield from block()
 
-    return df.mapInArrow(task, with_fields(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    dropped = () if keep_text else (text,)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    return map_arrow(df, task, with_fields(df, fields, dropped))
+
+
+def decoded_bytes(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list of ids."""
+    flat = lists.flatten()
+    each = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(each)), each)
+    if flat.null_count:
+        row = row[~np.asarray(flat.is_null())]
+        flat = flat.drop_null()
+    values = tokens.take(flat)
+    data = values.buffers()[2]
+    size = np.diff(np.frombuffer(values.buffers()[1], np.int64)[: len(flat) + 1]) if len(flat) else np.zeros(0)
+    ends = np.zeros(len(each) + 1, np.int64)
+    np.cumsum(np.bincount(row, size, len(each)), out=ends[1:])
+    out = pa.Array.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
+    return out.cast(pa.binary())
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -286,21 +316,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(vocabulary.value, pa.large_binary())
-        # Parts of a batch, since a list of ids can be long.
-        for batch in (b.slice(low, 1_000) for b in batches for low in range(0, b.num_rows, 1_000)):
-            lists = batch.column(ids)
-            flat = lists.flatten()
-            each = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-            row = np.repeat(np.arange(len(each)), each)
-            if flat.null_count:
-                row = row[~np.asarray(flat.is_null())]
-                flat = flat.drop_null()
-            values = tokens.take(flat)
-            data = values.buffers()[2]
-            size = np.diff(np.frombuffer(values.buffers()[1], np.int64)[: len(flat) + 1]) if len(flat) else np.zeros(0)
-            ends = np.zeros(len(each) + 1, np.int64)
-            np.cumsum(np.bincount(row, size, len(each)), out=ends[1:])
-            out = pa.Array.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
-            yield replaced(batch, {decoded: out.cast(pa.binary())})
-
-    return df.mapInArrow(task, with_fields(df, [T.StructField(decoded, T.BinaryType())]))
+        for batch in (b.slice(low, DECODED_ROWS) for b in batches for low in range(0, b.num_rows, DECODED_ROWS)):
+            yield replaced(batch, {decoded: decoded_bytes(batch.column(ids), tokens)})
+
+    return map_arrow(df, task, with_fields(df, [T.StructField(decoded, T.BinaryType())]))

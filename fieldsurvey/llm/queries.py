@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(folds: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    """Remainder of crc32 of the id as text; a NULL id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,8 +36,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    return digests(bpe.decode(ids, RANKS))
+    return digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded", keep_text=False))
 
 
 def digests(coded: DataFrame, *more: str) -> DataFrame:

@@ -81,6 +81,8 @@ def test_query_encodes_the_whole_table_as_the_library(spark, sf_dir, library):
 def test_odd_rows_and_round_trip(spark, library):
     df = odd_docs(spark)
     coded = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
+    at_once = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
+    assert "text" not in at_once.columns and at_once.exceptAll(coded.drop("text")).isEmpty()
     same_columns(df, coded, "ids", "decoded")
     rows = sorted(coded.collect(), key=lambda r: r.n)
     for r, (_, text) in zip(rows, ODD_TEXTS):
