@@ -74,9 +74,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests that show that they decode to its text."""
     _small_batches(spark)
-    ids = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
-    coded = bpe.decode(ids, RANKS)
-    return coded.select("doc_id", "ids", "decoded").transform(lambda d: digests(d, "ids"))
+    coded = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
+    return digests(coded, "ids")
 
 
 STAGES = [
