@@ -36,9 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsurvey.llm.arrow import Tokens, chained, word_classes
+from fieldsurvey.llm.arrow import Tokens, chained, map_arrow, word_classes
 from fieldsurvey.llm.blocks import Items, deleted, joined, pack, packed_sorted, ranges_for, stored, totals, unpacked_sorted, with_totals
 from fieldsurvey.llm.graph import components
+from fieldsurvey.skew import fixed
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -187,7 +188,7 @@ def overlaps(pairs: DataFrame, index: DataFrame, a: str = "a", b: str = "b") ->
             kept = [n for n in batch.schema.names if n not in ("_ia", "_ib")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(both, pa.int64())], [*kept, "both"])
 
-    return met.mapInArrow(task, schema)
+    return map_arrow(met, task, schema)
 
 
 def links(index: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -251,7 +252,8 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     comps = components(found).withColumnRenamed("node", "fp")
     own = sets.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
     placed = own.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # A table of its own: the members of a large component are then shuffled for this join alone, and the engine may split them.
+    named = fixed(placed.groupBy("comp").agg(F.min("least").alias("component_id")))
     of_class = placed.select("fp", "comp").join(named, "comp").select("fp", "component_id")
     grouped = sets.filter("fp IS NOT NULL").join(of_class, "fp").select("id", "n", "component_id")
     alone = sets.filter("fp IS NULL").select("id", "n", F.col("id").alias("component_id"))
