@@ -15,7 +15,7 @@ Words and bigrams are held as hashes of 64 and 56 bits.
 Defined results: NULL is the empty text, which has one token; repeated rows count each
 time; without training texts every token is unknown and both scores are 0; without
 events for a bucket the weights of the bucket below hold; other columns pass through,
-those named like an output are replaced; an empty table gives an empty table.
+those named like an output are replaced; a very long text is a block of its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from fieldsurvey.llm.arrow import Tokens, chained, hash_values, replaced, with_fields, word_classes
 from fieldsurvey.llm.blocks import Items, deleted, joined, pack, ranges_for, stored, totals, with_totals
+from fieldsurvey.llm.columns import unused
 from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
 
 #: Part of the training texts whose events teach the weights: one of so many.
@@ -114,14 +115,15 @@ def score(df: DataFrame, training: Column, text: str = "text", key: str = "doc_i
     """
     part = F.pmod(F.xxhash64(F.lit("develop"), F.col(key)), F.lit(DEVELOP)) == 0
     role = F.when(~F.coalesce(training, F.lit(False)), 2).when(part, 1).otherwise(0).cast("int")
-    blocks = stored(pack(df.withColumn("__role", role), text, "__role"), "lm-blocks")
+    named = unused(df, "__role")
+    blocks = stored(pack(df.withColumn(named, role), text, named), "lm-blocks")
     items = lambda rows: Events(rows.column(text)).items()
     answers = stored(totals(blocks, items, ranges_for(blocks)), "lm-counts")
     words = answers.filter(f"block < 0 AND kind = {WORDS}").agg(F.sum("distinct"), F.sum("mass0"), F.sum("mass1")).first()
     distinct, mass, held = (int(x or 0) for x in words)
     unknown = 1 / (distinct + 1)
     weights = mixture(_held_out_events(blocks, answers, text, mass), unknown)
-    scored = stored(_scored(df, blocks, answers, text, weights, distinct, mass + held, unknown), "lm-scores")
+    scored = stored(_scored(df, blocks, answers, (text, named), weights, distinct, mass + held, unknown), "lm-scores")
     deleted(df.sparkSession, blocks, answers)
     return scored
 
@@ -141,12 +143,12 @@ def _held_out_events(blocks: DataFrame, answers: DataFrame, text: str, mass: int
     return whole(cells.get("events"), BUCKETS * STEPS * STEPS)
 
 
-def _scored(df: DataFrame, blocks: DataFrame, answers: DataFrame, text: str, weights: np.ndarray, distinct: int, mass: int, unknown: float) -> DataFrame:
+def _scored(df: DataFrame, blocks: DataFrame, answers: DataFrame, drop: tuple[str, str], weights: np.ndarray, distinct: int, mass: int, unknown: float) -> DataFrame:
     fields = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")]
     fields += [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
 
     def task(rows: pa.RecordBatch, found: dict[int, list[np.ndarray]]) -> pa.Table:
-        events = Events(rows.column(text))
+        events = Events(rows.column(drop[0]))
         all_ = {k: sum(joined(v)) for k, v in found.items()}
         bucket, two, one = events.estimates(all_[WORDS], all_[PAIRS], mass)
         count = all_[WORDS][events.word]
@@ -160,6 +162,6 @@ def _scored(df: DataFrame, blocks: DataFrame, answers: DataFrame, text: str, wei
             "train_tokens": pa.array(np.full(rows.num_rows, mass, np.int64)), "base_score": pa.array(sums(base)),
             "score": pa.array(sums(np.log10(chance)) if mass else np.zeros(rows.num_rows)),
         }
-        return pa.Table.from_batches([replaced(rows, out, (text, "__role"))])
+        return pa.Table.from_batches([replaced(rows, out, drop)])
 
-    return with_totals(blocks, answers, task, with_fields(df, fields, (text,)))
+    return with_totals(blocks, answers, task, with_fields(df, fields, drop))

@@ -20,7 +20,7 @@ shuffled, and the neighbour of a turn is found in range-partitioned slices.
 Defined results: NULL text is an empty body; a NULL conversation or turn links to
 nothing and has depth 0; rows that share conversation and turn get the same links, with
 a body each; of equally good originals the earliest wins; quotations of nothing known
-are removed from the body all the same; an empty table gives an empty table; other
+are removed from the body all the same; very long messages cost as much as their lines; an empty table gives an empty table; other
 columns pass through, those named like an output are replaced.
 """
 
@@ -31,6 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldsurvey.llm.columns import bound, quoted, unused
 from fieldsurvey.skew import fixed
 
 MARKS = r"^ ?((?:> ?)+)"
@@ -67,14 +68,20 @@ def body_of(text: Column) -> Column:
 def passages(text: Column) -> Column:
     """Level and normalised lines of each run of quoted lines of one level."""
 
-    def step(so_far: Column, x: Column) -> Column:
-        last = F.element_at(so_far, -1)
-        grown = F.struct(x["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        begun = F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))
-        same = (F.size(so_far) > 0) & (F.try_element_at(so_far, F.lit(-1))["level"] == x["level"])
-        return F.when(same, F.concat(F.slice(so_far, F.lit(1), F.size(so_far) - 1), F.array(grown))).otherwise(F.concat(so_far, F.array(begun)))
+    def level(lines: Column, at: Column) -> Column:
+        return F.get(lines, at)["level"]
 
-    runs = F.aggregate(lines_of(text), F.array().cast("array<struct<level:int,lines:array<string>>>"), step)
+    def begins(lines: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(lines, i) != level(lines, i - 1)))
+
+    def cut(lines: Column, at: Column) -> Column:
+        def run(start: Column, nth: Column) -> Column:
+            own = F.slice(lines, start + 1, F.coalesce(F.get(at, nth + 1), F.size(lines)) - start)
+            return F.struct(level(lines, start).alias("level"), F.transform(own, lambda x: x["line"]).alias("lines"))
+
+        return F.transform(at, run)
+
+    runs = bound(lines_of(text), lambda lines: bound(begins(lines), lambda at: cut(lines, at)))
     clean = F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(
         r["level"].alias("level"), F.filter(F.transform(r["lines"], normalised), lambda x: x != "").alias("lines")
     ))
@@ -110,14 +117,14 @@ def _before(turns: DataFrame, group: str, order: str) -> DataFrame:
 
 def thread(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``df`` with ``body``, ``n_quoted`` and ``n_linked`` passages, ``reply_to`` (a turn) and ``depth``."""
-    keep = [c for c in df.columns if c not in OUTPUTS]
+    keep = [quoted(c) for c in df.columns if c not in OUTPUTS]
     rows = df.select(*keep)
     key = (F.col(conversation).alias("c"), F.col(turn).alias("t"))
     known = rows.filter(F.col(conversation).isNotNull() & F.col(turn).isNotNull())
     parent = fixed(_parents(known.select(*key, F.col(text).alias("x"))))
-    deep = _depths(parent)
-    links = deep.select(F.col("c").alias("_c"), F.col("t").alias("_t"), "n_linked", "reply_to", "depth")
-    joined = rows.join(links, (F.col(conversation) == F.col("_c")) & (F.col(turn) == F.col("_t")), "left")
+    c, t = unused(df, "_c"), unused(df, "_t")
+    links = _depths(parent).select(F.col("c").alias(c), F.col("t").alias(t), "n_linked", "reply_to", "depth")
+    joined = rows.join(links, (F.col(conversation) == F.col(c)) & (F.col(turn) == F.col(t)), "left")
     return joined.select(
         *keep, body_of(F.col(text)).alias("body"), F.size(passages(F.col(text))).cast("long").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +232,47 @@ def test_quotes_of_odd_tables(spark):
     same_columns(df.drop("depth"), out, *quotes.OUTPUTS)
     assert out.count() == df.count() and {r.depth for r in out.collect()} == {0, 1}
     assert quotes.thread(df.limit(0), conversation="doc_id").count() == 0
+
+
+def test_spans_and_masking_of_one_long_row(spark):
+    """Many spans, runs and pieces in one row, held against cuts in Python; the time is a guard against quadratic work."""
+    r = random.Random(5)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = (lambda: draw("0123456789abcdef", 40), lambda: "token=" + draw("abcdefghij", 12), lambda: "😀é" * r.randint(1, 40), lambda: draw(secrets.BASE62, 30) + "9")
+    long = " ".join(r.choice(kinds)() for _ in range(30_000))
+    texts = [long, "token=abcdefgh1", "x" * 4095 + " token=abcdefgh1 " + "y" * 4096, "z" * 8192 + " token=abcdefgh1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    start = time.time()
+    out = secrets.scan(df, keep_text=True).withColumn("m", secrets.masked(F.col("text"), F.col("secret_spans"))).collect()
+    assert time.time() - start < 120
+    for x in out:
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in x.secret_spans if s.kind != "random"] == base_spans(x.text)
+        base = [s for s in x.secret_spans if s.kind != "random"]
+        touched = {i for s in base for i in range(s.start, s.end)}
+        assert not any(touched.intersection(range(s.start, s.end)) for s in x.secret_spans if s.kind == "random")
+        at, parts = 0, []
+        for s in x.secret_spans:
+            if s.start >= at:
+                parts.append(x.text[at : s.start])
+            at = max(at, s.end)
+        assert x.m == "[secret]".join([*parts, x.text[at:]])
+    assert sum(s.kind == "random" for x in out for s in x.secret_spans) > 1_000
+
+
+def test_names_of_input_columns_clash_with_nothing(spark):
+    docs = spark.createDataFrame([(1, "some text", 1, 2, 3, 4)], "`doc_id` long, text string, `__base` int, `__runs` int, `__role` int, `x.y` int")
+    assert secrets.scan(docs).first()["__base"] == 1
+    turns = spark.createDataFrame([(1, 1, "> a\n> b\nc", 7, 8, 9)], "conv_id long, turn int, text string, `_c` int, `_t` int, `x.y` int")
+    found = quotes.thread(turns).first()
+    assert (found["_c"], found["_t"], found["x.y"], found.body, found.n_quoted) == (7, 8, 9, "c", 1)
+
+
+def test_many_quoted_lines_in_one_message(spark):
+    lines = [">" * (1 + n % 3 if n % 2 else 1) + f" line {n}" for n in range(30_000)]
+    levels = [line.index(" ") for line in lines]
+    runs = 1 + sum(a != b for a, b in zip(levels, levels[1:]))
+    df = spark.createDataFrame([(1, 1, "line 5"), (1, 2, "\n".join(lines) + "\nmine")], "conv_id long, turn int, text string")
+    start = time.time()
+    found = {r.turn: r for r in quotes.thread(df).collect()}
+    assert time.time() - start < 120
+    assert found[2].n_quoted == runs and found[2].body == "mine" and found[2].reply_to == 1
