@@ -2,6 +2,7 @@
 
 import csv
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,30 @@ def test_cluster_without_shared_folder_is_an_error():
         shared_folder(Session)
 
 
+def test_cluster_takes_the_folder_that_its_session_names():
+    """Without a scheme and with local files as the default store, as with a mounted folder."""
+
+    class Context:
+        master = "local-cluster[3,2,1024]"
+        folder = None
+        _jsc = SimpleNamespace(hadoopConfiguration=lambda: {"fs.defaultFS": "file:///"})
+
+        @classmethod
+        def getCheckpointDir(cls):
+            return cls.folder
+
+        @classmethod
+        def setCheckpointDir(cls, folder):
+            cls.folder = folder
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": "/mnt/shared"}
+
+    assert shared_folder(Session) == "/mnt/shared"
+    assert Context.folder == "/mnt/shared"
+
+
 def summary_rows(tables):
     return sorted(map(repr, tables["plot_summary"].collect()))
 
