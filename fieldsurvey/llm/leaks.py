@@ -2,12 +2,11 @@
 
 Texts are cut into passages of two half passages that overlap by one half. Passages and
 items are TF-IDF vectors over the items' words, in a fixed number of hashed cells;
-document frequencies are counted over all passages of all texts. A randomised singular
-value decomposition finds the main directions of these vectors: a random matrix is
-multiplied by the passages and their transpose, task by task, and the sums of the tasks
-are made orthogonal, a few times over. It is fitted on the items and a bounded sample
-of texts (``FIT_TEXTS``); every passage of every text is then projected and compared with
-every item. An item longer than a passage is compared as a whole and by windows of a
+document frequencies are counted over all passages of all texts. A singular value
+decomposition finds the main directions of these vectors: the main directions of the items
+are multiplied by all passages of all texts and their transpose, task by task, and the
+sums of the tasks give the main directions of both (Nystrom's method, one reading). Every
+passage of every text is then projected and compared with every item. An item longer than a passage is compared as a whole and by windows of a
 passage's length, since a passage holds only a small share of a long item, also of a word-for-word
 copy. Candidates above ``cosine`` that hold a fair share of the weight of the item or window (a
 passage of which only a word or two count can have a high cosine too) are checked on the words: the share of the item
@@ -16,7 +15,9 @@ the share of its answer (the last sentence, or the last quarter of its words) in
 stretch. An item leaks where its own share is high, or fair with the answer present.
 
 The items of one round are sent to all tasks; they have about ``ROUND_ITEMS`` vectors, windows
-counted, and more items take more rounds. No text is shuffled.
+counted, and more items take more rounds. Texts are cut into words once a round: they are written
+to the shared folder with the cell of each word, from which all later steps work; only texts
+with a candidate are cut again. No text is shuffled.
 
 Defined results: NULL and empty texts and items leak nothing; an item with fewer words
 than ``SHORT_ITEM`` has too few for directions and leaks where its whole word sequence stands in a
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldsurvey.llm.arrow import Tokens, map_arrow, replaced, slices, with_fields
-from fieldsurvey.llm.blocks import stored
+from fieldsurvey.llm.blocks import deleted, stored
 from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
 
 #: Words of half a passage.
@@ -44,11 +45,15 @@ HALF = 24
 #: A word as :func:`term_classes` has it.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 CELLS = 1 << 14
+#: A cell plus one.
+CODE = np.dtype("<u2")
 #: Text, words and passages that a task looks at together, which bounds its memory.
 PART_BYTES, PART_WORDS, PART_PASSAGES = 1 << 20, 1 << 14, 1 << 12
 RANK, EXTRA = 128, 16
-#: Texts in the sample on which the directions are fitted, at most about.
-FIT_TEXTS, FIT_TASKS = 2_000, 4
+#: Rows that :func:`add_rows` adds to the same row in one go.
+RUN_ROWS = 64
+#: Turns in which the directions of the items alone are found.
+OWN_TURNS = 3
 ROUND_ITEMS = 400
 ITEM_BYTES = 4 << 20
 SHORT_ITEM = 5
@@ -141,40 +146,60 @@ class Items:
         return out * weight[: self.size]
 
 
-def add_columns(out: np.ndarray, into: np.ndarray, across: np.ndarray, which: np.ndarray, scale: np.ndarray | None = None) -> None:
-    """Adds the columns ``which`` of ``across``, times ``scale``, to the columns ``into`` of ``out``; ``into`` ascends."""
+def add_rows(out: np.ndarray, into: np.ndarray, rows: np.ndarray, which: np.ndarray) -> None:
+    """Adds the rows ``which`` of ``rows`` to the rows ``into`` of ``out``; ``into`` ascends."""
     for low in range(0, len(which), PART_WORDS):
-        part = slice(low, low + PART_WORDS)
-        columns, target = across[:, which[part]], into[part]
-        if scale is not None:
-            columns *= scale[part]
-        begin = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        out[:, target[begin]] += np.add.reduceat(columns, begin, axis=1)
+        target, source = into[low : low + PART_WORDS], which[low : low + PART_WORDS]
+        at = np.arange(len(target))
+        first = np.append(True, target[1:] != target[:-1])
+        place = at - np.maximum.accumulate(np.where(first, at, 0))
+        begin = np.flatnonzero(place % RUN_ROWS == 0)
+        size = np.diff(np.append(begin, len(target)))
+        # Longest first: the n-th rows of all runs are added together.
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        total = rows[source[begin]]
+        for nth in range(1, int(size[0])):
+            longer = int(np.searchsorted(-size, -nth))
+            total[:longer] += rows[source[begin[:longer] + nth]]
+        head = place[begin] == 0
+        out[target[begin[head]]] += total[head]
+        np.add.at(out, target[begin[~head]], total[~head])
+
+
+def word_cells(values: list[bytes], cells: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((cells.get(v, -1) for v in values), np.int64, len(values))
 
 
 class Passages:
     """Half passages of a column: the cells of the items' words in them."""
 
     def __init__(self, column: pa.Array, cells: dict[bytes, int]):
-        """``column`` is in lower case."""
-        self.tokens = tokens = Tokens(column, term_classes(), lower=False)
-        cell = np.fromiter((cells.get(v, -1) for v in tokens.values), np.int64, len(tokens.values))
-        place = np.arange(len(tokens.code)) - tokens.first[tokens.row] if len(tokens.code) else np.zeros(0, np.int64)
-        count = -(-np.diff(tokens.first) // HALF)
+        """``column`` is text in lower case or, as binary, the codes that :func:`_coded` makes of it."""
+        if pa.types.is_binary(column.type):
+            data, at = _bytes(column)
+            self.first, cell = at // 2, data.view(CODE).astype(np.int64) - 1
+            telling = np.zeros(CELLS + 1, bool)
+            telling[list(cells.values())] = True
+            used = np.flatnonzero(telling[cell])
+        else:
+            tokens = Tokens(column, term_classes(), lower=False)
+            self.first, cell = tokens.first, word_cells(tokens.values, cells)[tokens.code]
+            used = np.flatnonzero(cell >= 0)
+        count = -(-np.diff(self.first) // HALF)
         self.begin = np.cumsum(count) - count
         self.halves = int(count.sum())
-        self.row = np.repeat(np.arange(tokens.rows), count)
-        self.first_token = tokens.first[self.row] + (np.arange(self.halves) - self.begin[self.row]) * HALF
-        used = np.flatnonzero(cell[tokens.code] >= 0) if len(tokens.code) else np.zeros(0, np.int64)
-        self.cell = cell[tokens.code[used]]
-        self.half = self.begin[tokens.row[used]] + place[used] // HALF
+        self.row = np.repeat(np.arange(len(count)), count)
+        self.first_token = self.first[self.row] + (np.arange(self.halves) - self.begin[self.row]) * HALF
+        row = np.repeat(np.arange(len(count)), np.diff(self.first))[used]
+        self.cell = cell[used]
+        self.half = self.begin[row] + (used - self.first[row]) // HALF
 
     def projected(self, directions: np.ndarray) -> np.ndarray:
         """Sum of the directions of the words of each half passage."""
-        across = np.ascontiguousarray(directions.T)
-        out = np.zeros((len(across), self.halves), np.float32)
-        add_columns(out, self.half, across, self.cell)
-        return np.ascontiguousarray(out.T)
+        out = np.zeros((self.halves, directions.shape[1]), np.float32)
+        add_rows(out, self.half, directions, self.cell)
+        return out
 
     def joined(self, halves: np.ndarray) -> np.ndarray:
         """Each half with the one after it in the same text."""
@@ -184,6 +209,33 @@ class Passages:
         return out
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows of a binary column and the row offsets in them, from 0."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at - at[0]
+
+
+def _coded(df: DataFrame, text: str, cells: dict[bytes, int], out: str) -> DataFrame:
+    """``df`` with the cell of each word of the text, plus one, as ``out``; 0 for words that no item has."""
+    lower = free_name(df, "__lower")
+    lowered = df.withColumn(lower, F.lower(text))
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in slices(batch, lower, PART_BYTES):
+                tokens = Tokens(part.column(lower), term_classes(), lower=False)
+                code = (word_cells(tokens.values, known) + 1).astype(CODE)[tokens.code]
+                held = [None, pa.py_buffer((2 * tokens.first).astype(np.int32)), pa.py_buffer(code.tobytes())]
+                yield replaced(part, {out: pa.Array.from_buffers(pa.binary(), part.num_rows, held)}, (lower,))
+
+    return map_arrow(lowered, task, with_fields(lowered, [T.StructField(out, T.BinaryType())], (lower,)))
+
+
 def _frequencies(docs: DataFrame, text: str, cells: dict[bytes, int]) -> tuple[np.ndarray, float]:
     """Weights of all cells, inverse frequency over all half passages of all texts, and their number."""
 
@@ -201,15 +253,15 @@ def _frequencies(docs: DataFrame, text: str, cells: dict[bytes, int]) -> tuple[n
     return np.log((counts[CELLS] + 2) / (counts[:CELLS] + 1)).astype(np.float32), counts[CELLS]
 
 
-def _directions(sample: DataFrame, text: str, items: Items, weight: np.ndarray, passages: float) -> np.ndarray:
-    """Cells x RANK: weights times the main directions of the passages of ``sample`` and of the items."""
+def _directions(docs: DataFrame, text: str, items: Items, weight: np.ndarray, passages: float) -> np.ndarray:
+    """Cells x RANK: weights times the main directions of all ``passages`` of ``docs`` and of the items."""
     cells = items.cells
-    # Items weigh ITEM_SHARE times as much as all passages of the sample, else the directions
+    # Items weigh ITEM_SHARE times as much as all passages, else the directions
     # would tell passages from each other but not items.
     share = ITEM_SHARE * max(1.0, passages) / max(1, len(items.parts))
 
     def of_items(q: np.ndarray) -> np.ndarray:
-        """The same for the items and windows, some of them at a time."""
+        """Transposed items and windows times themselves times ``q``, some of them at a time."""
         total = np.zeros(q.shape)
         for low in range(0, len(items.parts), ROUND_ITEMS):
             own = items.vectors(weight, low, low + ROUND_ITEMS)
@@ -217,39 +269,36 @@ def _directions(sample: DataFrame, text: str, items: Items, weight: np.ndarray,
             total += own.T.astype(float) @ (own @ q)
         return share * total
 
-    def product(q: np.ndarray) -> np.ndarray:
-        """Transposed passages times passages times ``q``."""
-        shared = sample.sparkSession.sparkContext.broadcast((q, weight))
+    def of_passages(q: np.ndarray) -> np.ndarray:
+        """The same for all passages of all texts."""
+        shared = docs.sparkSession.sparkContext.broadcast((cells, (q * weight[: items.size, None]).astype(np.float32), weight))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis, w = shared.value
-            across = np.ascontiguousarray(basis.T.astype(np.float32))
-            total = np.zeros(across.shape)
+            cells, weighted, w = shared.value
+            total = np.zeros(weighted.shape)
             for batch in batches:
                 for part in slices(batch, text, PART_BYTES):
                     found = Passages(part.column(text), cells)
-                    cell, half = found.cell, found.half
-                    if not len(cell):
+                    if not len(found.cell):
                         continue
-                    square = np.bincount(half, w[cell] ** 2, found.halves)
-                    scale = (w[cell] / np.sqrt(np.maximum(square, 1e-9))[half]).astype(np.float32)
-                    # Tokens in order of their half passage, then in order of their cell.
-                    made = np.zeros((len(across), found.halves), np.float32)
-                    add_columns(made, half, across, cell, scale)
-                    order = np.argsort(cell, kind="stable")
-                    add_columns(total, cell[order], made, half[order], scale[order])
-            yield from emitted({"y": total.T.ravel()})
-
-        sums = whole(summed(map_arrow(sample, task, SCHEMA)).get("y"), q.size).reshape(q.shape)
-        return sums + of_items(q)
-
-    rng = np.random.default_rng(11)
-    basis = np.linalg.qr(rng.normal(size=(items.size, min(items.size, RANK + EXTRA))))[0]
-    for _ in range(2):
-        basis = np.linalg.qr(product(basis))[0]
-    # The directions of the items themselves, on what the passages' main directions leave.
-    values, turn = np.linalg.eigh(basis.T @ product(basis))
-    main = basis @ turn[:, np.argsort(-values)[:RANK]]
+                    square = np.bincount(found.half, w[found.cell].astype(float) ** 2, found.halves)
+                    made = found.projected(weighted) / np.maximum(square, 1e-9)[:, None].astype(np.float32)
+                    order = np.argsort(found.cell, kind="stable")
+                    add_rows(total, found.cell[order], made, found.half[order])
+            yield from emitted({"y": (total * w[: len(total), None]).ravel()})
+
+        return whole(summed(map_arrow(docs.select(text), task, SCHEMA)).get("y"), q.size).reshape(q.shape)
+
+    start = np.linalg.qr(np.random.default_rng(11).normal(size=(items.size, min(items.size, RANK + EXTRA))))[0]
+    basis = start
+    for _ in range(OWN_TURNS):
+        made = of_items(basis)
+        # A little of the start stays, for there may be fewer items than directions.
+        basis = np.linalg.qr(made / max(1e-9, np.abs(made).max()) + 1e-4 * start)[0]
+    made = of_items(basis) + of_passages(basis)
+    values, turn = np.linalg.eigh(basis.T @ made)
+    kept = values > 1e-9 * max(1e-9, values.max())
+    main = np.linalg.svd(made @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0][:, :RANK]
     return (main * weight[: items.size, None]).astype(np.float32)
 
 
@@ -341,35 +390,36 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "do
         F.coalesce(F.sum(vectors_of(F.regexp_count("x", F.lit(WORD)))), F.lit(0)), F.coalesce(F.sum(F.octet_length("x")), F.lit(0))
     ).first()
     rounds = max(1, -(-number // ROUND_ITEMS), -(-size // ITEM_BYTES))
-    total = df.count()
-    found = df.withColumn(out, F.array().cast(FOUND))
-    sample = df.select(text)
-    if total > FIT_TEXTS:
-        # By text, each once: neither an id nor a text that many rows share fills the sample.
-        parts = 1 << 30
-        sample = sample.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(text)), F.lit(parts)) < int(parts * FIT_TEXTS / total)).distinct()
-    sample = stored(sample.repartition(FIT_TASKS), "leak-sample")
-    lowered = lambda d: d.withColumn(text, F.lower(text))
+    found, coded = df.withColumn(out, F.array().cast(FOUND)), None
     for nth in range(rounds):
         part = rows.filter(F.pmod(F.xxhash64("id", "x"), F.lit(rounds)) == nth).collect() if rounds > 1 else rows.collect()
         part = sorted(part, key=lambda r: (r.id, r.x))
         items = Items([r.id for r in part], [r.x for r in part])
         if not items.ids and not items.short:
             continue
+        codes = free_name(found, "__codes")
+        before, coded = coded, stored(_coded(found, text, items.cells, codes), "leak-codes")
+        if before is not None:
+            deleted(spark, before)
         directions = np.zeros((1, 1), np.float32)
         if items.ids:
-            weight, halves = _frequencies(lowered(df.select(text)), text, items.cells)
+            weight, halves = _frequencies(coded, codes, items.cells)
             items.cells = items.telling(weight)
-            directions = _directions(lowered(sample), text, items, weight, halves * min(1.0, FIT_TEXTS / max(1, total)))
+            directions = _directions(coded, codes, items, weight, halves)
         shared = spark.sparkContext.broadcast((items.short, items.ids, items.words, items.answers, items.owner, items.parts, items.cells, directions))
-        found = _searched(found, text, shared, out, cosine)
+        found = _searched(coded, text, codes, shared, out, cosine)
     return found
 
 
-def _searched(df: DataFrame, text: str, shared, out: str, cosine: float) -> DataFrame:
-    lower = "__lower"
-    while lower in df.columns:
-        lower += "_"
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has it."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
+def _searched(df: DataFrame, text: str, codes: str, shared, out: str, cosine: float) -> DataFrame:
+    lower = free_name(df, "__lower")
     lowered = df.withColumn(lower, F.lower(text))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,15 +431,18 @@ def _searched(df: DataFrame, text: str, shared, out: str, cosine: float) -> Data
         sequences = Sequences(short)
         for batch in batches:
             for part in slices(batch, lower, PART_BYTES):
-                passages = Passages(part.column(lower), cells)
+                passages = Passages(part.column(codes), cells)
                 near = _candidates(passages, directions, items, cosine)
-                leaks = _checked(passages, [(half, owner[row], c) for half, row, c in near], checkers, ids)
-                for row, more in sequences.found(passages.tokens).items():
+                # Words are needed of texts with a candidate; short items have no candidates.
+                rows = np.arange(part.num_rows) if short else np.unique(passages.row[np.array([half for half, _, _ in near], np.int64)])
+                tokens = Tokens(part.column(lower).take(pa.array(rows, pa.int64())), term_classes(), lower=False)
+                leaks = _checked(passages, rows, tokens, [(half, owner[row], c) for half, row, c in near], checkers, ids)
+                for row, more in sequences.found(tokens).items():
                     leaks[row] = leaks.get(row, []) + more
                 old = part.column(out).to_pylist()
-                yield replaced(part, {out: pa.array([o + leaks.get(row, []) for row, o in enumerate(old)], schema.field(out).type)}, (lower,))
+                yield replaced(part, {out: pa.array([o + leaks.get(row, []) for row, o in enumerate(old)], schema.field(out).type)}, (lower, codes))
 
-    fields = with_fields(lowered, [T.StructField(out, FOUND)], (lower,))
+    fields = with_fields(lowered, [T.StructField(out, FOUND)], (lower, codes))
     schema = pa.schema([pa.field(out, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("item_share", pa.float64()), ("answer_share", pa.float64())])))])
     return map_arrow(lowered, task, fields)
 
@@ -414,8 +467,8 @@ def _candidates(passages: Passages, directions: np.ndarray, items: np.ndarray, c
     return out
 
 
-def _checked(passages: Passages, near: list[tuple[int, int, float]], checkers: list[Checker], ids: list[int]) -> dict[int, list[dict]]:
-    tokens = passages.tokens
+def _checked(passages: Passages, rows: np.ndarray, tokens: Tokens, near: list[tuple[int, int, float]], checkers: list[Checker], ids: list[int]) -> dict[int, list[dict]]:
+    """Leaks of each row; ``tokens`` are those of the texts ``rows``, in ascending order."""
     best: dict[tuple[int, int], dict] = {}
     seen: set[tuple[int, int]] = set()
     number = {v: c for c, v in enumerate(tokens.values)} if near else {}
@@ -429,8 +482,10 @@ def _checked(passages: Passages, near: list[tuple[int, int, float]], checkers: l
         if known and known["item_share"] >= 0.95:
             continue
         checker = checkers[item]
-        low = max(tokens.first[row], passages.first_token[half] - checker.size)
-        high = min(tokens.first[row + 1], passages.first_token[half] + 2 * HALF + checker.size)
+        own = int(np.searchsorted(rows, row))
+        begin = tokens.first[own] + passages.first_token[half] - passages.first[row]
+        low = max(tokens.first[own], begin - checker.size)
+        high = min(tokens.first[own + 1], begin + 2 * HALF + checker.size)
         if item not in codes:
             codes[item] = [number.get(w, -1) for w in checker.sequence]
         # No subsequence is longer than the words that are there in any order.

@@ -187,6 +187,27 @@ def test_candidates_against_all_passages(spark, benchmark):
     assert wanted and np.mean([w in near for w in wanted]) >= 0.9
 
 
+def test_directions_are_fitted_on_all_texts(spark, monkeypatch):
+    """More rows than the fit once took, some of them repeated."""
+    seen, directions = [], leaks._directions
+    monkeypatch.setattr(leaks, "_directions", lambda docs, *a: seen.append(docs.count()) or directions(docs, *a))
+    item = "the quick brown fox jumps over a lazy dog near the river bank"
+    df = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id") % 2000, F.when(F.col("id") == 7, " " + item).otherwise("")).alias("text"))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in leaks.find(df, items).collect() if r.leaks] == [7]
+    assert seen == [2500]
+
+
+def test_add_rows_against_plain_sums():
+    r = np.random.default_rng(3)
+    into = np.sort(np.concatenate([np.zeros(3 * leaks.RUN_ROWS, int), r.integers(0, 50, 500), np.full(leaks.PART_WORDS, 60)]))
+    rows, which = r.integers(0, 9, (40, 5)).astype(float), r.integers(0, 40, len(into))
+    out, expected = np.zeros((70, 5)), np.zeros((70, 5))
+    leaks.add_rows(out, into, rows, which)
+    np.add.at(expected, into, rows[which])
+    assert (out == expected).all()
+
+
 @pytest.mark.parametrize("length", [150, 300, 1000])
 def test_long_items_word_for_word(spark, benchmark, length):
     """Items of many passages, whole or most of them, inside of other texts."""
