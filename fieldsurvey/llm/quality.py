@@ -6,9 +6,10 @@ is the sum of the index vectors of its neighbours over the whole corpus, so that
 tokens look like the company they keep. Tokens are held in a fixed number of hashed
 cells: the table of vectors has the same size for any corpus and is summed from all
 texts. A text is the mean and the spread of its token vectors, frequent tokens weighing
-less, and its length. A network with one hidden layer is fitted with numpy on a bounded
-sample of labelled texts (``MAX_TRAIN``), and its temperature on a part of them that
-the weights have not seen.
+less, and its length. A network with one hidden layer is fitted on all labelled texts, and its
+temperature on a fifth of them that the weights have not seen. Up to ``MAX_TRAIN`` of them
+are fitted on the driver with numpy; more are dealt out by hash in shards of about that many rows, every shard
+goes on from the mean of all shards' weights for some epochs, and so on for ``TURNS`` turns.
 
 Defined results: NULL and empty texts are scored as texts without tokens; repeated rows
 get equal scores; of several labels of a document the mean decides, a tie is label 1;
@@ -19,7 +20,7 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldsurvey.llm.arrow import Tokens, hash_values, map_arrow, mixed, replaced, slices, with_fields
+from fieldsurvey.llm.blocks import deleted, stored
 from fieldsurvey.llm.sums import SCHEMA, emitted, summed, whole
+from fieldsurvey.skew import BROADCAST_KEYS
 
 #: Cells and length of the vectors: the table has CELLS x DIMS numbers, 3 MB.
 CELLS, DIMS = 1 << 14, 48
@@ -37,8 +40,11 @@ CELLS, DIMS = 1 << 14, 48
 REACH = 2
 #: Text looked at in one go; the work space of a task is some dozen times that.
 PART_BYTES = 1 << 20
-#: Labelled texts used for fitting, at most (a random part by hash, whatever there is).
+#: Labelled texts fitted in one place, at most about.
 MAX_TRAIN = 20_000
+EPOCHS, TURNS = 40, 8
+#: Temperatures that are tried.
+GRID = np.geomspace(0.25, 8, 60)
 HIDDEN = 24
 PASS_TOKENS = 1 << 16
 FEATURES = 2 * DIMS + 1
@@ -135,17 +141,37 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x) / self.temperature, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 7) -> Network:
-    """Network by Adam on four fifths of the rows, temperature by likelihood on the rest."""
+def constant_network(score: float) -> Network:
     zeros = np.zeros(FEATURES)
+    return Network(zeros, zeros + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0, score)
+
+
+def new_network(centre: np.ndarray, scale: np.ndarray, rng: np.random.Generator) -> Network:
+    return Network(centre, scale, rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0, 1.0)
+
+
+def losses(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Loss of each row at each temperature of GRID."""
+    return np.array([np.logaddexp(0, np.where(y > 0, -margin, margin) / t) for t in GRID])
+
+
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Network by Adam on four fifths of the rows, temperature by likelihood on the rest."""
     if len(y) < 10 or y.min() == y.max():
-        return Network(zeros, zeros + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
+        return constant_network(float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
-    model = Network(x[used].mean(0), x[used].std(0) + 1e-6, rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0, 1.0)
+    model = new_network(x[used].mean(0), x[used].std(0) + 1e-6, rng)
+    learn(model, x, y, used, epochs, rng)
+    model.temperature = float(GRID[int(np.argmin(losses(model.margin(x[held]), y[held]).mean(1)))])
+    return model
+
+
+def learn(model: Network, x: np.ndarray, y: np.ndarray, used: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Turns the weights of ``model`` by Adam on the rows ``used``."""
     z = np.clip((x - model.centre) / model.scale, -8, 8)
-    weights = [model.first, model.first_bias, model.second, np.zeros(1)]
+    weights = [model.first, model.first_bias, model.second, np.full(1, model.second_bias)]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     step = 0
     for _ in range(epochs):
@@ -162,30 +188,91 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 7) -> Networ
                 v += 0.001 * (g * g - v)
                 w -= 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.second_bias = float(weights[3][0])
-    margin = model.margin(x[held])
-    grid = np.geomspace(0.25, 8, 60)
-    loss = [np.logaddexp(0, np.where(y[held] > 0, -margin, margin) / t).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels, in an order that does not depend on the one in which rows arrive."""
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
+    y = np.array(batch.column("y").to_pylist(), np.float64)
+    order = np.lexsort((y, *x.T[::-1]))
+    return x[order], y[order]
+
+
+def _one_shard(state: dict, seed: list[int]) -> Callable[[pa.Table], pa.Table]:
+    """The weights that a shard makes of ``state``, times its rows."""
+
+    def task(group: pa.Table) -> pa.Table:
+        x, y = _rows(group)
+        own = Network(**{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in state.items()})
+        learn(own, x, y, np.arange(len(y)), EPOCHS // TURNS, np.random.default_rng([*seed, len(y)]))
+        flat = np.concatenate([own.first.ravel(), own.first_bias, own.second, [own.second_bias, 1.0]])
+        return pa.Table.from_batches(emitted({"weights": len(y) * flat}))
+
+    return task
+
+
+def fit_shards(rows: DataFrame, shards: int, seed: int = 7) -> Network:
+    """Network by Adam on four fifths of all ``rows`` (y, x, mark), dealt out over shards; temperature on the rest."""
+    mark = lambda name, parts: F.pmod(F.xxhash64(F.lit(name), "mark"), F.lit(parts))
+    used, held = rows.filter(mark("held", 5) != 0), rows.filter(mark("held", 5) == 0)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * FEATURES + 2)
+        for batch in batches:
+            x, y = _rows(batch)
+            total += np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)])
+        yield from emitted({"sums": total})
+
+    total = whole(summed(map_arrow(used, moments, SCHEMA)).get("sums"), 2 * FEATURES + 2)
+    n, ones, mean = total[0], total[1], total[2 : FEATURES + 2] / max(1.0, total[0])
+    if not 0 < ones < n:
+        return constant_network(float(ones / n) if n else 0.5)
+    scale = np.sqrt(np.maximum(total[FEATURES + 2 :] / n - mean * mean, 0)) + 1e-6
+    model = new_network(mean, scale, np.random.default_rng(seed))
+    for turn in range(TURNS):
+        one = _one_shard(vars(model).copy(), [seed, turn])
+        parts = used.withColumn("shard", mark("shard", shards)).groupBy("shard").applyInArrow(one, SCHEMA)
+        size = FEATURES * HIDDEN + 2 * HIDDEN + 2
+        mean_weights = whole(summed(parts).get("weights"), size)
+        mean_weights /= mean_weights[-1]
+        first, bias, second = np.split(mean_weights[:-2], [FEATURES * HIDDEN, FEATURES * HIDDEN + HIDDEN])
+        model.first, model.first_bias, model.second, model.second_bias = first.reshape(FEATURES, HIDDEN), bias, second, float(mean_weights[-2])
+    final = vars(model).copy()
+
+    def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(GRID))
+        for batch in batches:
+            x, y = _rows(batch)
+            total += losses(Network(**final).margin(x), y).sum(1)
+        yield from emitted({"loss": total})
+
+    model.temperature = float(GRID[int(np.argmin(whole(summed(map_arrow(held, loss, SCHEMA)).get("loss"), len(GRID))))])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "quality") -> Network:
-    """Network fitted on at most about ``MAX_TRAIN`` labelled texts of ``docs``."""
+    """Network fitted on all labelled texts of ``docs``."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     rows = known.count()
-    if rows > MAX_TRAIN:
-        parts = 1 << 30
-        known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(parts)) < int(parts * MAX_TRAIN / rows))
-    # MAX_TRAIN rows of two numbers are sent to every task.
-    chosen = docs.select(key, text).join(F.broadcast(known), key)
+    # Rows of two numbers are sent to every task, if they are few.
+    chosen = docs.select(key, text).join(F.broadcast(known) if rows <= BROADCAST_KEYS else known, key)
+    # Copies of a text have ids of their own, so that no shard gets them all.
+    chosen = chosen.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, PART_BYTES):
                 x = pooled(part.column(text), vectors, weights).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([r.tobytes() for r in x])], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([r.tobytes() for r in x], pa.binary()), part.column("_mark")], ["y", "x", "mark"])
 
-    found = map_arrow(chosen, task, "y int, x binary").collect()
+    made = map_arrow(chosen, task, "y int, x binary, mark long")
+    if rows > MAX_TRAIN:
+        made = stored(made, "quality-features")
+        # Several rows may share an id that has a label.
+        network = fit_shards(made, -(-made.count() // MAX_TRAIN))
+        deleted(docs.sparkSession, made)
+        return network
+    found = made.collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float64).reshape(len(found), FEATURES)
     # The order in which rows arrive must not matter.
     order = np.lexsort(x.T[::-1]) if len(found) else np.zeros(0, int)

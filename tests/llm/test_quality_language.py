@@ -36,6 +36,21 @@ def test_quality_of_odd_rows(spark, labels):
     assert quality.classify(df.limit(0), marks).count() == 0
 
 
+def test_quality_is_fitted_on_all_labelled_texts(spark, sf_dir, monkeypatch):
+    """More labelled texts than one place fits: every one is learned from, in shards."""
+    seen, fit_shards = [], quality.fit_shards
+    monkeypatch.setattr(quality, "fit_shards", lambda rows, shards: seen.append((rows.count(), shards)) or fit_shards(rows, shards))
+    monkeypatch.setattr(quality, "MAX_TRAIN", 60)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = labels.filter(F.col("doc_id") % 3 != 1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = quality.classify(docs, known, out="p").join(labels, "doc_id").filter("doc_id % 3 = 1").collect()
+    n = docs.join(known, "doc_id").count()
+    assert seen == [(n, -(-n // 60))] and n > 120
+    good, bad = [r.p for r in rows if r.quality], [r.p for r in rows if not r.quality]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
 def test_network_learns_and_is_calibrated():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, quality.FEATURES))
