@@ -8,7 +8,7 @@ cells: the table of vectors has the same size for any corpus and is summed from
 texts. A text is the mean and the spread of its token vectors, frequent tokens weighing
 less, and its length. A network with one hidden layer is fitted on all labelled texts, and its
 temperature on a fifth of them that the weights have not seen. Up to ``MAX_TRAIN`` of them
-are fitted on the driver with numpy; more are dealt out by hash in shards of about that many rows, every shard
+are fitted on the driver with numpy; more are dealt out once, by hash, in shards of about that many rows, every shard
 goes on from the mean of all shards' weights for some epochs, and so on for ``TURNS`` turns.
 
 Defined results: NULL and empty texts are scored as texts without tokens; repeated rows
@@ -48,6 +48,10 @@ GRID = np.geomspace(0.25, 8, 60)
 HIDDEN = 24
 PASS_TOKENS = 1 << 16
 FEATURES = 2 * DIMS + 1
+#: Weights of the network and, at their end, the number of rows.
+WEIGHTS = FEATURES * HIDDEN + 2 * HIDDEN + 2
+#: One row a shard for the rows that are used and one for those held back; features and labels as bytes.
+SHARDS = "shard long, held boolean, x binary, y binary"
 
 
 def token_classes() -> np.ndarray:
@@ -192,48 +196,67 @@ def learn(model: Network, x: np.ndarray, y: np.ndarray, used: np.ndarray, epochs
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels, in an order that does not depend on the one in which rows arrive."""
-    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     y = np.array(batch.column("y").to_pylist(), np.float64)
     order = np.lexsort((y, *x.T[::-1]))
     return x[order], y[order]
 
 
-def _one_shard(state: dict, seed: list[int]) -> Callable[[pa.Table], pa.Table]:
-    """The weights that a shard makes of ``state``, times its rows."""
+def _packed(group: pa.Table) -> pa.Table:
+    """One row for the rows of a shard that are used, or held back."""
+    x, y = _rows(group)
+    first = {c: group.column(c)[:1] for c in ("shard", "held")}
+    return pa.table(first | {"x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([y.tobytes()], pa.binary())})
 
-    def task(group: pa.Table) -> pa.Table:
-        x, y = _rows(group)
-        own = Network(**{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in state.items()})
-        learn(own, x, y, np.arange(len(y)), EPOCHS // TURNS, np.random.default_rng([*seed, len(y)]))
-        flat = np.concatenate([own.first.ravel(), own.first_bias, own.second, [own.second_bias, 1.0]])
-        return pa.Table.from_batches(emitted({"weights": len(y) * flat}))
+
+def by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """SHARDS of ``rows`` (y, x, mark): each row travels once and is read where it lies by every turn."""
+    mark = lambda name, parts: F.pmod(F.xxhash64(F.lit(name), "mark"), F.lit(parts))
+    dealt = rows.withColumns({"shard": mark("shard", max(1, shards)), "held": mark("held", 5) == 0})
+    # The number is given, so that small shards are not put together in one task.
+    return dealt.repartition(2 * max(1, shards), "shard").groupBy("shard", "held").applyInArrow(_packed, SHARDS)
+
+
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            yield np.frombuffer(x.as_buffer(), np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(y.as_buffer(), np.float64)
+
+
+def _turn(state: dict, seed: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sum of the weights that each shard makes of ``state``, times its rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WEIGHTS)
+        for x, y in _shard_rows(batches):
+            own = Network(**{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in state.items()})
+            learn(own, x, y, np.arange(len(y)), EPOCHS // TURNS, np.random.default_rng([*seed, len(y)]))
+            total += len(y) * np.concatenate([own.first.ravel(), own.first_bias, own.second, [own.second_bias, 1.0]])
+        yield from emitted({"weights": total})
 
     return task
 
 
 def fit_shards(rows: DataFrame, shards: int, seed: int = 7) -> Network:
     """Network by Adam on four fifths of all ``rows`` (y, x, mark), dealt out over shards; temperature on the rest."""
-    mark = lambda name, parts: F.pmod(F.xxhash64(F.lit(name), "mark"), F.lit(parts))
-    used, held = rows.filter(mark("held", 5) != 0), rows.filter(mark("held", 5) == 0)
+    table = stored(by_shard(rows, shards), "quality-shards")
+    used, held = (table.filter(c).select("x", "y") for c in ("NOT held", "held"))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * FEATURES + 2)
-        for batch in batches:
-            x, y = _rows(batch)
+        for x, y in _shard_rows(batches):
             total += np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)])
         yield from emitted({"sums": total})
 
     total = whole(summed(map_arrow(used, moments, SCHEMA)).get("sums"), 2 * FEATURES + 2)
     n, ones, mean = total[0], total[1], total[2 : FEATURES + 2] / max(1.0, total[0])
     if not 0 < ones < n:
+        deleted(rows.sparkSession, table)
         return constant_network(float(ones / n) if n else 0.5)
     scale = np.sqrt(np.maximum(total[FEATURES + 2 :] / n - mean * mean, 0)) + 1e-6
     model = new_network(mean, scale, np.random.default_rng(seed))
     for turn in range(TURNS):
-        one = _one_shard(vars(model).copy(), [seed, turn])
-        parts = used.withColumn("shard", mark("shard", shards)).groupBy("shard").applyInArrow(one, SCHEMA)
-        size = FEATURES * HIDDEN + 2 * HIDDEN + 2
-        mean_weights = whole(summed(parts).get("weights"), size)
+        mean_weights = whole(summed(map_arrow(used, _turn(vars(model).copy(), [seed, turn]), SCHEMA)).get("weights"), WEIGHTS)
         mean_weights /= mean_weights[-1]
         first, bias, second = np.split(mean_weights[:-2], [FEATURES * HIDDEN, FEATURES * HIDDEN + HIDDEN])
         model.first, model.first_bias, model.second, model.second_bias = first.reshape(FEATURES, HIDDEN), bias, second, float(mean_weights[-2])
@@ -241,12 +264,12 @@ def fit_shards(rows: DataFrame, shards: int, seed: int = 7) -> Network:
 
     def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(GRID))
-        for batch in batches:
-            x, y = _rows(batch)
+        for x, y in _shard_rows(batches):
             total += losses(Network(**final).margin(x), y).sum(1)
         yield from emitted({"loss": total})
 
     model.temperature = float(GRID[int(np.argmin(whole(summed(map_arrow(held, loss, SCHEMA)).get("loss"), len(GRID))))])
+    deleted(rows.sparkSession, table)
     return model
 
 
@@ -267,11 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.n
 
     made = map_arrow(chosen, task, "y int, x binary, mark long")
     if rows > MAX_TRAIN:
-        made = stored(made, "quality-features")
         # Several rows may share an id that has a label.
-        network = fit_shards(made, -(-made.count() // MAX_TRAIN))
-        deleted(docs.sparkSession, made)
-        return network
+        return fit_shards(made, -(-chosen.count() // MAX_TRAIN))
     found = made.collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float64).reshape(len(found), FEATURES)
     # The order in which rows arrive must not matter.

@@ -51,6 +51,21 @@ def test_quality_is_fitted_on_all_labelled_texts(spark, sf_dir, monkeypatch):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_labelled_texts_are_dealt_out_once(spark, monkeypatch):
+    """Turns read the shards where they lie; each used to shuffle all features again, twice."""
+    plans, summed = [], quality.summed
+    monkeypatch.setattr(quality, "summed", lambda parts: plans.append(parts._jdf.queryExecution().toString()) or summed(parts))
+    r = np.random.default_rng(1)
+    x = r.normal(size=(900, quality.FEATURES)).astype(np.float32)
+    rows = spark.createDataFrame([(int(v[0] > 0), v.tobytes(), i) for i, v in enumerate(x)], "y int, x binary, mark long")
+    network = quality.fit_shards(rows, 3)
+    assert len(plans) == quality.TURNS + 2 and not any("Exchange" in p for p in plans)
+    assert np.mean((network.scores(x) > 0.5) == (x[:, 0] > 0)) > 0.8
+    shards = quality.by_shard(rows, 3).collect()
+    assert len(shards) == 6 and sum(len(s.y) // 8 for s in shards) == 900
+    assert sorted(b"".join(s.x for s in shards)) == sorted(x.tobytes())
+
+
 def test_network_learns_and_is_calibrated():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, quality.FEATURES))
